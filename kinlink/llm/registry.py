@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import decontamination, licenses, packing, token_counts
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_token_counts": token_counts.op4_token_counts,
     "op10_pack_sequences": packing.op10_pack_sequences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontamination.OP3_SQL,
+}
