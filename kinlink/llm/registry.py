@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, packing, token_counts
+from . import chat, decontamination, licenses, packing, simhash, token_counts
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_simhash": simhash.op5_simhash,
+    "op7_chat_format": chat.op7_chat_format,
     "op10_pack_sequences": packing.op10_pack_sequences,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.OP3_SQL,
+    "op5_simhash": simhash.op5_simhash,
+    "op7_chat_format": chat.OP7_SQL,
 }
