@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, packing, simhash, token_counts
+from . import chat, decontamination, licenses, packing, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_simhash": simhash.op5_simhash,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.op7_chat_format,
+    "op9_quality": quality.op9_quality,
     "op10_pack_sequences": packing.op10_pack_sequences,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.OP3_SQL,
     "op5_simhash": simhash.op5_simhash,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.OP7_SQL,
 }
