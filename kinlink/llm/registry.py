@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, packing, quality, simhash, token_counts, toxicity
+from . import chat, decontamination, licenses, packing, passages, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_repeated_passages": passages.op8_repeated_passages,
     "op9_quality": quality.op9_quality,
     "op10_pack_sequences": packing.op10_pack_sequences,
 }
