@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, packing, passages, quality, simhash, token_counts, toxicity
+from . import chat, decontamination, licenses, neighbours, packing, passages, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_neighbours": neighbours.op2_neighbours,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_simhash": simhash.op5_simhash,
