@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .common import batches_of, small_batches, table
+from .common import batches_of, cut_lineage, small_batches, table
 
 #: Context limits that are answered beside every length that occurs.
 LIMITS = tuple(1 << k for k in range(7, 21))
@@ -37,7 +37,8 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
         return batches_of(iter(counts.items()), schema)
 
     parts = docs.select("text").mapInArrow(run, "length long, n_docs long")
-    return parts.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    # Read several times by limit_table(); a row for each length that occurs.
+    return cut_lineage(parts.groupBy("length").agg(F.sum("n_docs").alias("n_docs")))
 
 
 def limit_table(histogram: DataFrame, limits: tuple[int, ...] = LIMITS) -> DataFrame:
