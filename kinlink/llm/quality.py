@@ -39,6 +39,8 @@ SHARPNESS = 8
 BLOCK = 256
 
 _MEMO = 200_000
+#: Only lines of fewer characters can count as short.
+_SHORT_LINE = 200
 _SHAPE = re.compile(r"([^\W\d_]+)|(\d+)|([\W_]+)")
 
 
@@ -61,34 +63,34 @@ class Reader:
     """Sparse term counts of one text after another."""
 
     def __init__(self):
-        self.memo: dict[str, tuple[int, int]] = {}
+        #: Of a token, the slots of its shape and of its word in one number; DIMENSIONS stands for no word.
+        self.memo: dict[str, int] = {}
         self.repeat, self.again, self.short = (_slot(x, 0, SHAPES) for x in ("repeated token", "repeated line", "short line"))
 
-    def slots(self, token: str) -> tuple[int, int]:
-        found = self.memo.get(token)
-        if found is None:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            word = "".join(c for c in token.lower() if c.isalnum())
-            found = self.memo[token] = (_slot(shape(token), 0, SHAPES), _slot(word, SHAPES, DIMENSIONS) if word else -1)
-        return found
+    def slots(self, token: str) -> int:
+        word = "".join(c for c in token.lower() if c.isalnum())
+        return _slot(shape(token), 0, SHAPES) << 16 | (_slot(word, SHAPES, DIMENSIONS) if word else DIMENSIONS)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Slots, their counts, and how many tokens there are."""
         tokens = text.split()
-        total = np.zeros(DIMENSIONS)
-        for token, n in Counter(tokens).items():
-            a, b = self.slots(token)
-            total[a] += n
-            if b >= 0:
-                total[b] += n
+        found, memo = Counter(tokens), self.memo
+        if len(memo) > _MEMO:
+            memo.clear()
+        for token in found:
+            if token not in memo:
+                memo[token] = self.slots(token)
+        at = np.fromiter(map(memo.__getitem__, found), dtype=np.int64, count=len(found))
+        n = np.fromiter(found.values(), dtype=np.float64, count=len(found))
+        total = np.bincount(at >> 16, n, DIMENSIONS) + np.bincount(at & 0xFFFF, n, DIMENSIONS + 1)[:DIMENSIONS]
         total[self.repeat] += 2 * sum(map(str.__eq__, tokens, tokens[1:]))
         lines = Counter(line for line in text.split("\n") if line.strip())
-        for line, n in lines.items():
-            size = len(line.split())
-            total[self.again] += 2 * (n - 1) * size
-            if size < 4:
-                total[self.short] += n * size
+        for line, times in lines.items():
+            if times > 1 or len(line) < _SHORT_LINE:
+                size = len(line.split())
+                total[self.again] += 2 * (times - 1) * size
+                if size < 4:
+                    total[self.short] += times * size
         at = np.flatnonzero(total)
         return at, total[at], len(tokens)
 
