@@ -281,8 +281,8 @@ _PART = """ent AS (
 _DOC = r"""ent AS (
   SELECT (CASE WHEN doc_id % 10 = 0 THEN 'S1-' WHEN doc_id % 2 = 1 THEN 'S2-' ELSE 'S3-' END) || CAST(doc_id AS VARCHAR) AS id,
     string_split(text, chr(10))[1] AS name, substr(text, length(string_split(text, chr(10))[1]) + 2) AS address, lang AS country FROM documents)"""
-_WORD_ROWS = r"""wrd AS (
-  SELECT country, id, unnest(regexp_extract_all(text, '\w\w+')) AS gram, unnest(range(1, len(regexp_extract_all(text, '\w\w+')) + 1)) AS i FROM ent)"""
+_WORD_ROWS = r"""arr AS (SELECT country, id, regexp_extract_all(lower(name || ' ' || address), '[\p{L}\p{M}\p{N}_][\p{L}\p{M}\p{N}_]+') AS w FROM ent),
+wrd AS (SELECT country, id, unnest(w) AS gram, unnest(range(1, len(w) + 1)) AS i FROM arr)"""
 _TWO = """gram AS (
   SELECT country, id, gram FROM wrd
   UNION ALL SELECT a.country, a.id, a.gram || ' ' || b.gram FROM wrd a JOIN wrd b ON a.id = b.id AND b.i = a.i + 1)"""
@@ -349,10 +349,19 @@ def _macro(name: str) -> str:
 
 _TAU_GRID = ", ".join(f"CAST({t} AS DOUBLE)" for t in TAUS)
 _K_GRID = ", ".join(f"CAST({k} AS INTEGER)" for k in KS)
-_KEY_SQL = r"""key AS (
-  SELECT id, unnest(['raw_prefix_1', 'raw_prefix_2', 'raw_prefix_3', 'clean_sig_prefix_1', 'clean_sig_prefix_2', 'clean_sig_prefix_3']) AS strategy,
-    unnest([substr(rawn, 1, 1), substr(rawn, 1, 2), substr(rawn, 1, 3), substr(sig, 1, 1), substr(sig, 1, 2), substr(sig, 1, 3)]) AS key
-  FROM (SELECT id, replace(name, ' ', '') AS rawn, CASE WHEN string_split(name, ' ')[1] IN ('new', 'all', 'royal', 'golden') THEN string_split(name, ' ')[2] ELSE string_split(name, ' ')[1] END AS sig FROM ent))"""
+_SIG = """sig AS (SELECT id, country, substr(CASE WHEN string_split(name, ' ')[1] IN ('the', 'ms', 'shri', 'shree', 'sri', 'dr', 'hotel', 'om', 'jai', 'new', 'all',
+  'national', 'indian', 'india', 'royal', 'golden', 'sai') THEN string_split(name, ' ')[2] ELSE string_split(name, ' ')[1] END, 1, 2) AS one, substr(string_split(name, ' ')[2], 1, 2) AS two FROM ent)"""
+
+
+def _met(keys: str, k: int, floor: float) -> str:
+    """Pairs that share a key, ranked."""
+    return f"""blk AS (SELECT id, country, unnest({keys}) AS key FROM sig),
+met AS (SELECT DISTINCT a.country, a.id AS q, b.id AS c FROM blk a JOIN blk b ON a.country = b.country AND a.key = b.key WHERE starts_with(a.id, 'S1-') AND NOT starts_with(b.id, 'S1-')),
+top_all AS (SELECT met.country, q AS source1_entity_id, c AS candidate_entity_id, round(sum(x.weight * y.weight), 6) AS similarity_score
+  FROM met JOIN unit x ON x.id = q JOIN unit y ON y.id = c AND y.gram = x.gram GROUP BY met.country, q, c),
+top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source1_entity_id ORDER BY similarity_score DESC, candidate_entity_id) AS INTEGER) AS rank
+  FROM top_all WHERE similarity_score > {floor}) WHERE rank <= {k})"""
+
 
 ORACLE_SQL = {
     "entity_view": _with(_DOC) + "SELECT id AS entity_id, CAST(length(name) AS INTEGER) AS name_chars, CAST(length(address) AS INTEGER) AS address_chars, country FROM ent",
@@ -386,6 +395,10 @@ FROM ent e LEFT JOIN top t ON t.source1_entity_id = e.id WHERE starts_with(e.id,
     + """SELECT country, count(*) AS entities, round(avg(p), 9) AS macro_precision, round(avg(r), 9) AS macro_recall, round(avg(f), 9) AS macro_f,
   CAST(sum(CASE WHEN n_true = 0 THEN 1 ELSE 0 END) AS BIGINT) AS singletons FROM scored GROUP BY country
 UNION ALL SELECT NULL, count(*), round(avg(p), 9), round(avg(r), 9), round(avg(f), 9), CAST(sum(CASE WHEN n_true = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM scored""",
+    "word_vocabulary": _with(_DOC, _WORD_ROWS, _TWO, _fit(2, 0.05)) + "SELECT country, gram, df, cf, round(idf, 6) AS idf FROM voc",
+    "sparse_topk_documents": _with(_DOC, _WORD_ROWS, _TWO, _fit(2, 0.05), _best(10, 0.05)) + _PAIR_COLUMNS,
+    "subpartition_topk": _with(*_BASE, _SIG, _met("[one]", 10, 0.1)) + _PAIR_COLUMNS,
+    "disjunctive_topk": _with(*_BASE, _SIG, _met("[one, two]", 10, 0.1)) + _PAIR_COLUMNS,
     "reduction_ratio": _with(*_BASE, _best(30, 0.1))
     + """SELECT pairs, n_reference, n_candidates, round(1 - CAST(pairs AS DOUBLE) / (n_reference * n_candidates), 9) AS reduction_ratio FROM (SELECT
   (SELECT count(*) FROM top) AS pairs, (SELECT count(*) FROM ent WHERE starts_with(id, 'S1-')) AS n_reference, (SELECT count(*) FROM ent WHERE NOT starts_with(id, 'S1-')) AS n_candidates)""",
