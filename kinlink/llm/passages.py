@@ -22,7 +22,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +35,6 @@ K, W = 8, 35
 #: Words by which suffixes are sorted: what is left of a window from the last start that can be its first kept one.
 PREFIX = LENGTH - (W - 1)
 
-_MEMO = 300_000
-_VIEWS = 1 << 15
 #: Odd multipliers of the two rolling hashes, modulo 2^64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -55,23 +52,11 @@ class Hasher:
     """Hashes of runs of words by prefix sums."""
 
     def __init__(self):
-        self.memo: dict[bytes, int] = {}
         self.powers = [np.ones(1, dtype=np.uint64) for _ in _BASES]
 
     def hashes(self, text: bytes) -> np.ndarray:
         """One hash for each word."""
-        found = words(text)
-        memo = self.memo
-        try:
-            return np.array([memo[w] for w in found], dtype=np.uint64)
-        except KeyError:
-            if len(memo) > _MEMO:
-                memo.clear()
-            digest = xxhash.xxh3_64_intdigest
-            for w in found:
-                if w not in memo:
-                    memo[w] = digest(w)
-            return np.array([memo[w] for w in found], dtype=np.uint64)
+        return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words(text))), dtype=np.uint64)
 
     def _power(self, which: int, n: int) -> np.ndarray:
         """The powers 0 to n - 1 of a base, in rising order."""
@@ -103,11 +88,16 @@ def selected(hashes: np.ndarray, hasher: Hasher) -> np.ndarray:
     count = len(hashes) - LENGTH + 1
     if count < 1:
         return np.zeros(0, dtype=np.int64)
-    views = sliding_window_view(hasher.runs(hashes, K), W)[:count]
-    out = np.empty(count, dtype=np.int64)
-    for k in range(0, count, _VIEWS):  # the views are copied by argmin
-        out[k : k + _VIEWS] = W - 1 - views[k : k + _VIEWS, ::-1].argmin(axis=1)
-    return out + np.arange(count)
+    least = hasher.runs(hashes, K)[: count + W - 1]
+    at = np.arange(len(least))
+    size = 1
+    while size < W:  # minima of runs of twice as many starts, the last run overlapping itself
+        step = min(size, W - size)
+        right = least[step:] <= least[:-step]
+        least = np.where(right, least[step:], least[:-step])
+        at = np.where(right, at[step:], at[:-step])
+        size += step
+    return at
 
 
 def _texts(batch: pa.RecordBatch):
