@@ -2,7 +2,7 @@
 
 Voters are lexicons and patterns: fixed lists of insults and threats, word shapes, and groups of words and word beginnings that
 the labelled rows tie to toxic documents. One pass over all documents gathers how often each voter and each pair of voters
-fires. A generative label model explains the covariances of voters by one hidden label (a rank-one fit gives every voter's rate
+fires. A generative label model explains the covariances of voters by one hidden label (a median over triplets gives every voter's rate
 on either class); what the label leaves unexplained are correlations, which lessen the weight of voters that repeat each other.
 The model's posterior labels, with the known labels as one more voter, train a logistic regression on the counts of the mined
 words, and that scores every whole text.
@@ -169,15 +169,15 @@ class LabelModel:
         mean = sums[-1, :-1] / n
         cov = sums[:-1, :-1] / n - np.outer(mean, mean)
         m = len(mean)
-        trust = 1.0 - np.eye(m)
-        for _ in range(4):  # fit, then leave out the pairs that one label explains worst
-            s = np.sqrt(np.maximum(np.diag(cov), 0)) * 0.5 + 1e-6
-            for _ in range(200):
-                s = (trust * cov) @ s / np.maximum(trust @ (s * s), 1e-12)
-            left = np.abs(cov - np.outer(s, s))
-            off = left[~np.eye(m, dtype=bool)]
-            trust = (left <= np.quantile(off, 0.8) + 1e-12).astype(float) * (1.0 - np.eye(m))
-        s *= 1.0 if s.sum() >= 0 else -1.0
+        # The hidden label makes cov[i, j] = s[i] s[j], so each pair (j, k) gives s[i]^2 = cov[i, j] cov[i, k] / cov[j, k]; the
+        # median over all pairs is not moved by the few voters that are correlated beside the label.
+        s = np.zeros(m)
+        for i in range(m):
+            j, k = np.triu_indices(m, 1)
+            good = (j != i) & (k != i) & (np.abs(cov[j, k]) > 1e-9)
+            if good.any():
+                s[i] = math.sqrt(max(0.0, float(np.median(cov[i, j[good]] * cov[i, k[good]] / cov[j[good], k[good]]))))
+        s *= np.where(cov.sum(axis=1) >= 0, 1.0, -1.0)
         spread = np.clip(s / math.sqrt(prior * (1 - prior)), -1, 1)
         self.toxic = np.clip(mean + (1 - prior) * spread, 1e-4, 1 - 1e-4)
         self.clean = np.clip(mean - prior * spread, 1e-4, 1 - 1e-4)
