@@ -54,6 +54,9 @@ PATTERNS = (
 )
 VOTERS = TERM_VOTERS + 2 + len(PATTERNS)
 
+#: Counts are taken per so many words in longer texts, so that length alone gathers no weight.
+PER_WORDS = 200
+
 _MEMO = 200_000
 
 
@@ -209,6 +212,11 @@ def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: flo
     return w
 
 
+def weight_of(count, n_words: int):
+    """What a term's count is worth in a text of so many words."""
+    return np.log1p(np.asarray(count, dtype=float) * (PER_WORDS / max(n_words, PER_WORDS)))
+
+
 class Model:
     def __init__(self, terms: list[bytes], weights: np.ndarray | None, constant: float):
         self.terms, self.weights, self.constant = terms, weights, constant
@@ -218,8 +226,10 @@ class Model:
             return [self.constant for _ in texts]
         out = []
         for text in texts:
-            counts = reader.counts(Counter(words(text)))
-            out.append(float(self.weights[-1] + sum(self.weights[i] * math.log1p(n) for i, n in counts.items())))
+            found = words(text)
+            counts = reader.counts(Counter(found))
+            at, n = list(counts), list(counts.values())
+            out.append(float(self.weights[-1] + (self.weights[at] @ weight_of(n, len(found)) if at else 0.0)))
         return sigmoid(np.array(out, dtype=float)).tolist()
 
 
@@ -233,24 +243,25 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     if not terms:
         return Model([], None, prior)
     label_model = LabelModel(moments(docs, terms), prior)
-    schema = pa.schema([("label", pa.int32()), ("votes", pa.list_(pa.bool_())), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+    schema = pa.schema([("label", pa.int32()), ("votes", pa.list_(pa.bool_())), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("size", pa.int64())])
 
     def read(batches):
         reader = Reader(terms)
         for batch in batches:
             out = []
             for label, text in zip(batch.column(0).to_pylist(), _texts([batch]), strict=True):
-                found = Counter(words(text))
+                every = words(text)
+                found = Counter(every)
                 counts = reader.counts(found)
-                out.append((label, reader.votes(text, found, counts), list(counts), list(counts.values())))
+                out.append((label, reader.votes(text, found, counts), list(counts), list(counts.values()), len(every)))
             yield from batches_of(iter(out), schema)
 
-    got = sample.select("label", "text").mapInArrow(read, "label int, votes array<boolean>, at array<int>, n array<int>").collect()
+    got = sample.select("label", "text").mapInArrow(read, "label int, votes array<boolean>, at array<int>, n array<int>, size long").collect()
     y = np.array([r["label"] for r in got], dtype=float)
     x = np.zeros((len(got), len(terms) + 1))
     x[:, -1] = 1.0
     for k, r in enumerate(got):
-        x[k, r["at"]] = np.log1p(r["n"])
+        x[k, r["at"]] = weight_of(r["n"], r["size"])
     told = math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
     posterior = sigmoid(label_model.logit(np.array([r["votes"] for r in got], dtype=bool)) + np.where(y > 0, told, -told))
     weight = np.array([stands_for[int(c)] for c in y])
