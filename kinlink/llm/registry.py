@@ -19,7 +19,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.OP3_SQL,
-    "op5_simhash": simhash.op5_simhash,
-    "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.OP7_SQL,
 }
