@@ -24,3 +24,4 @@ def test_sql_belongs_to_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values()) and all(map(callable, entry.queries().values()))
