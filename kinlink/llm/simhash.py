@@ -176,9 +176,13 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their group; of rows that repeat such an id, one. Rows without an id
-    stay, as nothing tells them apart."""
-    found = cut_lineage(groups(docs))
+    return keep_smallest(docs, groups(docs))
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that are the smallest doc_id of their group in found (doc_id, component_id); of rows that repeat such
+    an id, one. Rows without an id stay, as nothing tells them apart."""
+    found = cut_lineage(found)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     twice = cut_lineage(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
