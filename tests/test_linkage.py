@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,17 @@ def test_dense(spark):
     assert sorted(exact.select(key).collect()) == sorted(near.select(key).collect())
 
 
+def test_dense_cells_recall(spark, monkeypatch):
+    monkeypatch.setattr(dense, "LEAST_ENTRIES", 100, raising=False)
+    rng = np.random.default_rng(0)
+    rows = [(f"{'S1' if i % 40 == 0 else 'S2'}-{i}", [float(y) for y in v], "x" if i % 3 else "y") for i, v in enumerate(rng.standard_normal((4000, 32)))]
+    v = spark.createDataFrame(rows, "id string, vector array<float>, country string")
+    q, c = v.where(F.col("id").startswith("S1")), v.where(F.col("id").startswith("S2"))
+    key = ["source1_entity_id", "candidate_entity_id"]
+    exact, near = (set(map(tuple, x.select(key).collect())) for x in (dense.dense_top_k(q, c, 10), dense.cell_top_k(q, c, 10)))
+    assert len(near) == len(exact) == 1000 and len(exact & near) >= 0.9 * len(exact)
+
+
 def test_profiles(spark, entities):
     truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S3-1")], "source1_entity_id string, candidate_entity_id string")
     assert {r.matches: r.ids for r in profile.match_cardinality(spark.createDataFrame([("S1-1",), ("S1-3",)], "source1_entity_id string"), truth).collect()} == {0: 1, 1: 1}
