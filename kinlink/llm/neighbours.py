@@ -3,7 +3,8 @@
 Vectors are cut into two halves, and each half is quantised by its own codebook, so the pairs of centroids are the cells of a
 fine grid. Every distinct vector is an entry of its cell. A query walks the pairs of centroids in order of their summed
 distances to its halves, by a heap over the two sorted lists, until the cells it has visited hold the share of entries asked
-for; the entries of these cells are ranked by their exact inner products.
+for; the entries of these cells are ranked by their exact inner products. For the cells, an entry has one more coordinate that
+brings all to the length of the longest, and a query has 0 there: the order of distances is then that of inner products.
 
 Entries are dealt to blocks of bounded size by their first centroid; a query is sent to those blocks that have visited cells,
 with a bit for each of them, and meets the entries of a block in batches. Equal vectors are one entry with their smallest ids:
@@ -95,6 +96,11 @@ class MultiIndex:
         return out
 
 
+def completed(vectors: np.ndarray, most: float) -> np.ndarray:
+    """Vectors with a further coordinate that brings their squared lengths to `most`."""
+    return np.hstack([vectors, np.sqrt(np.maximum(0.0, most - (vectors * vectors).sum(axis=1)))[:, None]])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -132,6 +138,8 @@ def search(embeddings: DataFrame, query_step: int = QUERY_STEP, top: int = TOP,
     sample = entries.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()
     points = np.array([r["embedding"] for r in sample])
     split = points.shape[1] // 2
+    most = entries.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
+    points = completed(points, most)
     k = centroids_for(n)
     index = MultiIndex(kmeans(points[:, :split], k), kmeans(points[:, split:], k))
     width = len(index.second)
@@ -139,7 +147,7 @@ def search(embeddings: DataFrame, query_step: int = QUERY_STEP, top: int = TOP,
     def assign(batches):
         for batch in batches:
             if batch.num_rows:
-                cell = index.cells(_matrix(batch.column("embedding")))
+                cell = index.cells(completed(_matrix(batch.column("embedding")), most))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=[*batch.schema.names, "cell"])
 
     celled = cut_lineage(entries.mapInArrow(assign, "embedding array<double>, ids array<long>, entry long, cell long"))
@@ -181,7 +189,7 @@ def search(embeddings: DataFrame, query_step: int = QUERY_STEP, top: int = TOP,
         for batch in batches:
             out = []
             for entry, vector in zip(batch.column("entry").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-                visited = np.array(index.visit(np.array(vector), enough), dtype=np.int64)
+                visited = np.array(index.visit(np.array([*vector, 0.0]), enough), dtype=np.int64)
                 begin = np.array([blocks[c][0] for c in (visited // width).tolist()], dtype=np.int64)
                 for b in np.unique(begin).tolist():
                     cells = visited[begin == b]

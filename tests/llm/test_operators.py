@@ -88,6 +88,18 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.5, 1.0])
+def test_recall_on_unequal_norms(spark, monkeypatch, sigma):
+    monkeypatch.setattr(neighbours, "LEAST_ENTRIES", 100)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4000, 32))
+    x *= np.exp(sigma * rng.standard_normal((4000, 1))) / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in neighbours.search(df, 80).collect()}
+    best = {(q, int(i)) for q in range(0, 4000, 80) for i in [i for i in np.argsort(-(x @ x[q])) if i != q][:20]}
+    assert len(found & best) >= 0.9 * len(best)
+
+
 def test_traversal_is_in_order():
     index = neighbours.MultiIndex(np.array([[0.0], [3.0], [4.0]]), np.array([[0.0], [1.0], [9.0]]))
     index.counts[:] = 1
