@@ -69,8 +69,7 @@ FAMILIES = (
 )
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[()]|[a-z0-9.+-]+")
-#: Longest expression that is read after a tag, in bytes; a line that goes on is prose.
-EXPRESSION_BYTES = 512
+_LINE = re.compile(rb"[^\r\n]*")
 
 
 def family(identifier: str) -> tuple[str, int] | None:
@@ -157,7 +156,7 @@ def expressions(text: bytes) -> list[str]:
         return []
     out = []
     for end, _ in _tags().iter(low.decode("latin-1")):
-        line = re.split(rb"[\r\n]", low[end + 1 : end + 1 + EXPRESSION_BYTES], maxsplit=1)[0].decode("utf-8", "ignore")
+        line = _LINE.match(low, end + 1)[0].decode("utf-8", "ignore")
         run = re.match(r"[\sa-z0-9.+()-]*", line)[0].strip()
         if run:
             out.append(run.rstrip("."))

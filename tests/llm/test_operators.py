@@ -68,6 +68,12 @@ def test_tags():
     assert r[5] == "apache,mit" and r[7] == 1 and r[8] == 1.0
 
 
+def test_long_expressions():
+    run = " and ".join(["bsd-3-clause"] * 45 + ["agpl-3.0-only"])
+    r = licenses.scan(f"SPDX-License-Identifier: {run}\nMIT".encode())
+    assert len(run) > 512 and r[6] == [run] and r[5] == "agpl,bsd" and r[7] == 3 and r[8] == 1.0
+
+
 # op2
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
