@@ -7,8 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that holds whole texts; bounds a Python worker's memory when texts are long.
 TEXT_BATCH_ROWS = 256
@@ -20,6 +23,15 @@ _WORD_BYTES = bytes(
 )
 
 
+#: The same words as a regular expression over characters, upper case included.
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
+
+def word_count(text: str = "text") -> Column:
+    """How many words a text column has; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+
+
 def words(text: bytes) -> list[bytes]:
     """Lower-cased alphanumeric words of a UTF-8 text."""
     return text.translate(_WORD_BYTES).split()
@@ -42,14 +54,17 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints, which all executors share; a local one only where the session names
-    none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster names for checkpoints, which all executors share. Where the session names none, a local one
+    in local mode (tests); a cluster has to name one."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "kinlink-checkpoints")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext.getCheckpointDir()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -59,11 +74,92 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written once as Parquet in the shared folder and read again, for tables with whole texts."""
+def write_table(df: DataFrame) -> str:
+    """Writes the rows as Parquet in the shared folder, for tables with whole texts; gives the path."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like those wanted that none of the taken names equals in any case."""
+    have, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of a key from which on spread_join() may deal them to several tasks.
+HOT_ROWS = 1024
+
+
+def spread_join(rows: DataFrame, told: DataFrame, keys: list[str], sizes: DataFrame, by: str, how: str = "left") -> DataFrame:
+    """rows joined with told, which has a key (no nulls) at most once, where a key may hold a large part of the rows. sizes has
+    the keys with n, their number of rows. A key of over a thousandth of all rows, so one of a thousand at most, has its rows
+    dealt by the column `by` and its row of told repeated."""
+    part, parts = unused([*rows.columns, *told.columns], "part", "parts")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_ROWS, total // 1000)
+    hot = F.broadcast(cut_lineage(sizes.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias(parts))))
+    dealt = rows.join(hot, keys, "left").withColumn(part, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))
+    repeated = told.join(hot, keys, "left").withColumn(part, every).drop(parts)
+    return dealt.join(repeated, [*keys, part], how).select(*rows.columns, *(c for c in told.columns if c not in keys))
+
+
+#: Odd multiplier of the rolling hash, modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Finisher that spreads a rolling hash over all bits."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+class Hasher:
+    """Hashes of runs of words by prefix sums."""
+
+    def __init__(self):
+        self.powers = np.ones(1, dtype=np.uint64)
+
+    @staticmethod
+    def words(found: list[bytes]) -> np.ndarray:
+        """One hash for each word."""
+        return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), dtype=np.uint64)
+
+    def _power(self, n: int) -> np.ndarray:
+        """The powers 0 to n - 1 of the base, in rising order."""
+        if len(self.powers) < n:
+            grown = np.full(max(n, 2 * len(self.powers)), _BASE, dtype=np.uint64)
+            grown[0] = 1
+            self.powers = np.multiply.accumulate(grown)
+        return self.powers[:n]
+
+    def runs(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """The hash of every run of `size` words, by its start: the sum of hash times base^(words to the run's end)."""
+        n = len(hashes)
+        if n < size:
+            return np.zeros(0, dtype=np.uint64)
+        # Terms h[i] * base^(n - i): a run's sum, taken out of the prefix sums, is scaled to the run's own place by a power
+        # of the base's inverse.
+        inverse = np.uint64(pow(_BASE, -1, 1 << 64))
+        falling = self._power(n)[::-1]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * falling, dtype=np.uint64)])
+        run = sums[size:] - sums[:-size]  # base^(n - 1 - start - j) for the word j of the run
+        scale = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - size, inverse, dtype=np.uint64)]))[::-1]
+        return _mix(run * scale)
 
 
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.OP3_SQL,
     "op7_chat_format": chat.OP7_SQL,
+    "op8_repeated_passages": passages.OP8_SQL,
 }
