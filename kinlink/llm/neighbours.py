@@ -2,23 +2,29 @@
 
 Vectors are cut into two halves, and each half is quantised by its own codebook, so the pairs of centroids are the cells of a
 fine grid. Every distinct vector is an entry of its cell. A query walks the pairs of centroids in order of their summed
-distances to its halves, by a heap over the two sorted lists, until the cells it has visited hold the share of entries asked
-for; the entries of these cells are ranked by their exact inner products. For the cells, an entry has one more coordinate that
-brings all to the length of the longest, and a query has 0 there: the order of distances is then that of inner products.
+distances to its halves, by a heap over the two sorted lists, until the cells it has visited hold enough entries; the entries of
+these cells are ranked by their exact inner products. For the cells, an entry has one more coordinate that brings all to the
+length of the longest, and a query has 0 there: the order of distances is then that of inner products.
 
-Entries are dealt to blocks of bounded size by their first centroid; a query is sent to those blocks that have visited cells,
-with a bit for each of them, and meets the entries of a block in batches. Equal vectors are one entry with their smallest ids:
-no more of them can be among the nearest, so copies need no pairs of their own, and equal queries are searched once.
+How many entries are enough is measured on the table itself: a bounded sample of the queries is searched exactly against all
+entries, and the traversal goes on for as long as the share RECALL of their nearest neighbours needs. On clustered vectors that
+is a small part of the entries, on isotropic ones of many dimensions it is a large one.
+
+Entries are dealt to blocks of bounded bytes in the order of their cells; a frequent cell has several blocks. A query is sent
+to the blocks of its cells with the radius of its traversal, which tells there what it has visited. Equal vectors are one entry
+with their smallest ids: no more of them can be among the nearest, so copies need no pairs of their own, and equal queries are
+searched once.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose
-dimension differs from that of the smallest valid id; ties go to the smaller id; repeated ids are one candidate; a query with
-fewer candidates gets all it finds; an empty table gives no rows; further columns are not read.
+dimension differs from that of the smallest valid id; ties go to the smaller id; an id that repeats is one candidate and one
+query, with the least of its vectors in order of their components; a query with fewer candidates gets all it finds; an empty
+table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +35,17 @@ from .common import cut_lineage, record_batch, small_batches, table
 
 TOP = 20
 QUERY_STEP = 20
-#: Part of all entries that a query's cells have to hold, and the least number of them. Measured recall on isotropic 64-d
-#: vectors, the hardest case, is in the README.
-SHARE, LEAST_ENTRIES = 0.5, 2000
+#: Share of the nearest neighbours of the measured queries that the traversal has to reach, and how many are measured at most.
+RECALL, MEASURED = 0.96, 256
+#: Entries that a traversal holds at least, where the table has as many: less than a block's product, so fewer save nothing.
+LEAST_ENTRIES = 512
 #: Distinct vectors that the codebooks are fitted on, at most; every vector is indexed.
 SAMPLE = 16384
 ROUNDS = 12
-#: Entries of one block.
-BLOCK = 8192
+#: Bytes of the vectors of one block, at most; entries of one block, at least.
+BLOCK_BYTES, LEAST_BLOCK = 1 << 24, 256
 #: Queries that meet a block at once.
-QUERIES = 256
+QUERIES = 128
 
 
 def centroids_for(entries: int) -> int:
@@ -72,11 +79,14 @@ class MultiIndex:
     def cells(self, vectors: np.ndarray) -> np.ndarray:
         return nearest(vectors[:, : self.split], self.first) * len(self.second) + nearest(vectors[:, self.split :], self.second)
 
+    def distances(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a query's halves to the centroids."""
+        return ((self.first - query[: self.split]) ** 2).sum(axis=1), ((self.second - query[self.split :]) ** 2).sum(axis=1)
+
     def visit(self, query: np.ndarray, enough: int) -> list[int]:
         """Cells in order of summed distance until they hold enough entries, by a heap over the two sorted lists: a pair is
         pushed once both its predecessors in the grid have been taken."""
-        a = ((self.first - query[: self.split]) ** 2).sum(axis=1)
-        b = ((self.second - query[self.split :]) ** 2).sum(axis=1)
+        a, b = self.distances(query)
         ia, ib = a.argsort(), b.argsort()
         da, db, ia, ib = a[ia].tolist(), b[ib].tolist(), ia.tolist(), ib.tolist()
         counts, width = self.counts, len(ib)
@@ -95,6 +105,15 @@ class MultiIndex:
                 heapq.heappush(heap, (da[x + 1] + db[y], x + 1, y))
         return out
 
+    def needed(self, query: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """For each cell how many entries the traversal holds once it has visited that cell."""
+        a, b = self.distances(query)
+        sums = (a[:, None] + b[None, :]).ravel()
+        order = sums.argsort(kind="stable")
+        held = np.empty(len(order), dtype=np.int64)
+        held[order] = self.counts.ravel()[order].cumsum()
+        return held[cells]
+
 
 def completed(vectors: np.ndarray, most: float) -> np.ndarray:
     """Vectors with a further coordinate that brings their squared lengths to `most`."""
@@ -118,23 +137,30 @@ def valid(embeddings: DataFrame) -> DataFrame:
     return good.where(F.size("embedding") == F.lit(size if size is not None else -1))
 
 
-def search(embeddings: DataFrame, query_step: int = QUERY_STEP, top: int = TOP, share: float = SHARE) -> DataFrame:
-    """(query_id, rank, vec_id, score) for every valid row whose vec_id is divisible by query_step, against all others."""
-    spark = embeddings.sparkSession
-    small_batches(spark, 2048)
-    rows = valid(embeddings)
-    keep = top + 1  # one may be the query itself
-    # The smallest ids of every distinct vector; the limit on the rank is taken before the shuffle too.
-    ranked = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= keep)
-    entries = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.col("ids")[0])
-    entries = cut_lineage(entries)
-    asked = rows.where(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
-    asked = cut_lineage(asked.join(entries.select("embedding", "entry"), "embedding").select("query_id", "entry"))
-    out_type = "query_id long, rank int, vec_id long, score double"
+@dataclass
+class Fitted:
+    index: MultiIndex
+    #: Squared length to which vectors are completed; distinct vectors; how many of them a traversal has to hold.
+    most: float
+    entries: int
+    enough: int
+
+
+def _one_vector_an_id(rows: DataFrame) -> DataFrame:
+    prints = rows.groupBy("vec_id").agg(F.min(F.xxhash64("embedding")).alias("a"), F.max(F.xxhash64("embedding")).alias("b"))
+    twice = cut_lineage(prints.where("a <> b").select("vec_id"))
+    if twice.isEmpty():
+        return rows
+    least = rows.join(twice, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.join(twice, "vec_id", "left_anti").unionByName(least)
+
+
+def fitted(entries: DataFrame, asked: DataFrame, top: int = TOP, recall: float = RECALL) -> tuple[Fitted | None, DataFrame]:
+    """The index of entries (embedding, ids, entry), fitted and measured, and the entries with their cells; None for an empty
+    table. asked has the entries that queries stand at."""
     n = entries.count()
     if not n:
-        return spark.createDataFrame([], out_type)
-
+        return None, entries.withColumn("cell", F.lit(0).cast("long"))
     sample = entries.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()
     points = np.array([r["embedding"] for r in sample])
     split = points.shape[1] // 2
@@ -153,70 +179,110 @@ def search(embeddings: DataFrame, query_step: int = QUERY_STEP, top: int = TOP,
     celled = cut_lineage(entries.mapInArrow(assign, "embedding array<double>, ids array<long>, entry long, cell long"))
     for r in celled.groupBy("cell").agg(F.count("*").alias("n")).collect():  # 2^20 cells at most
         index.counts[r["cell"] // width, r["cell"] % width] = r["n"]
-    # Rows of the grid fill blocks in turn; a row of more entries than a block has several of its own.
-    blocks: dict[int, tuple[int, int]] = {}
-    block = used = 0
-    for i, size in enumerate(index.counts.sum(axis=1).tolist()):
-        if used and used + size > BLOCK:
-            block, used = block + 1, 0
-        parts = max(1, math.ceil(size / BLOCK))
-        blocks[i] = (block, parts)
-        used += size
-        if parts > 1:
-            block, used = block + parts, 0
-    enough = max(LEAST_ENTRIES, math.ceil(share * n))
-    sent = spark.sparkContext.broadcast((index, blocks))
-
-    names = ["block", "kind", "id", "cell", "vector", "mask", "ids"]
-    schema = pa.schema(
-        [("block", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("cell", pa.int64()), ("vector", pa.list_(pa.float64())), ("mask", pa.binary()), ("ids", pa.list_(pa.int64()))]
-    )
-    ddl = "block long, kind int, id long, cell long, vector array<double>, mask binary, ids array<long>"
+
+    # The sample of queries, searched exactly.
+    chosen = celled.join(F.broadcast(asked.select("entry").distinct().orderBy(F.xxhash64("entry")).limit(MEASURED)), "entry").select("entry", "embedding").collect()
+    if not chosen:
+        return Fitted(index, most, n, n), celled
+    own, queries = [r["entry"] for r in chosen], np.array([r["embedding"] for r in chosen])
+
+    def exact(batches):
+        best = np.full((len(queries), top + 1), -np.inf)
+        where, whose = np.zeros(best.shape, dtype=np.int64), np.zeros(best.shape, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            score = np.hstack([best, queries @ _matrix(batch.column("embedding")).T])
+            at = np.argpartition(-score, top, axis=1)[:, : top + 1]
+            best = np.take_along_axis(score, at, axis=1)
+            every = np.broadcast_to(batch.column("cell").to_numpy(), (len(queries), batch.num_rows))
+            where = np.take_along_axis(np.hstack([where, every]), at, axis=1)
+            every = np.broadcast_to(batch.column("entry").to_numpy(), (len(queries), batch.num_rows))
+            whose = np.take_along_axis(np.hstack([whose, every]), at, axis=1)
+        q, j = np.nonzero(best > -np.inf)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[q, j]), pa.array(where[q, j]), pa.array(whose[q, j])], names=["q", "score", "cell", "entry"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "entry")
+    true = celled.mapInArrow(exact, "q int, score double, cell long, entry long")
+    true = true.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top + 1).collect()  # MEASURED * (top + 1) rows
+    needed: list[np.ndarray] = []
+    for q, vector in enumerate(queries):
+        cells = np.array([r["cell"] for r in true if r["q"] == q and r["entry"] != own[q]][:top], dtype=np.int64)
+        needed.append(index.needed(np.append(vector, 0.0), cells))
+    needed = np.sort(np.concatenate(needed))
+    enough = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else n
+    return Fitted(index, most, n, max(enough, LEAST_ENTRIES)), celled
+
+
+def search(embeddings: DataFrame, query_step: int = QUERY_STEP, top: int = TOP, recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, vec_id, score) for every valid row whose vec_id is divisible by query_step, against all others."""
+    spark = embeddings.sparkSession
+    small_batches(spark, 2048)
+    rows = _one_vector_an_id(valid(embeddings))
+    keep = top + 1  # one may be the query itself
+    # The smallest ids of every distinct vector; the limit on the rank is taken before the shuffle too.
+    ranked = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= keep)
+    entries = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.col("ids")[0])
+    entries = cut_lineage(entries)
+    asked = rows.where(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    asked = cut_lineage(asked.join(entries.select("embedding", "entry"), "embedding").select("query_id", "entry"))
+    out_type = "query_id long, rank int, vec_id long, score double"
+    fit, celled = fitted(entries, asked, top, recall)
+    if fit is None:
+        return spark.createDataFrame([], out_type)
+    index, enough, width = fit.index, fit.enough, len(fit.index.second)
+    # Entries in the order of their cells fill blocks; small tables have as many blocks as keep all cores busy.
+    size = max(1, len(celled.first()["embedding"]))
+    block = min(max(1024, BLOCK_BYTES // (8 * size)), max(LEAST_BLOCK, -(-fit.entries // (2 * spark.sparkContext.defaultParallelism))))
+    ends = index.counts.ravel().cumsum()
+    sent = spark.sparkContext.broadcast((index, ends))
+
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("cell", pa.int64()), ("vector", pa.list_(pa.float64())), ("radius", pa.float64()), ("ids", pa.list_(pa.int64()))])
+    ddl = "block long, kind int, id long, cell long, vector array<double>, radius double, ids array<long>"
 
     def deal(batches):
-        _, blocks = sent.value
+        index, ends = sent.value
+        sizes = index.counts.ravel()
         for batch in batches:
-            cell, entry = batch.column("cell").to_numpy(), batch.column("entry").to_numpy()
-            at = [blocks[c // width][0] + e % blocks[c // width][1] for c, e in zip(cell.tolist(), entry.tolist(), strict=True)]
             m = batch.num_rows
-            none = pa.nulls(m, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int64()), pa.array(np.zeros(m, np.int32)), batch.column("entry"), batch.column("cell"), batch.column("embedding"), none, batch.column("ids")], schema=schema
-            )
+            cell, entry = batch.column("cell").to_numpy(), batch.column("entry").to_numpy()
+            mixed = (entry.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            at = (ends[cell] - sizes[cell] + (mixed % np.maximum(sizes[cell], 1).astype(np.uint64)).astype(np.int64)) // block
+            columns = [pa.array(at), pa.array(np.zeros(m, np.int32)), batch.column("entry"), batch.column("cell"), batch.column("embedding"), pa.nulls(m, pa.float64()), batch.column("ids")]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def probe(batches):
-        index, blocks = sent.value
+        index, ends = sent.value
+        sizes = index.counts.ravel()
         for batch in batches:
-            out = []
             for entry, vector in zip(batch.column("entry").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-                visited = np.array(index.visit(np.array([*vector, 0.0]), enough), dtype=np.int64)
-                begin = np.array([blocks[c][0] for c in (visited // width).tolist()], dtype=np.int64)
-                for b in np.unique(begin).tolist():
-                    cells = visited[begin == b]
-                    mask = np.zeros(index.counts.size, dtype=bool)
-                    mask[cells] = True
-                    packed = np.packbits(mask).tobytes()
-                    for part in range(max(blocks[c][1] for c in np.unique(cells // width).tolist())):
-                        out.append((b + part, 1, entry, -1, vector, packed, None))
-            for a in range(0, len(out), 1024):
-                yield record_batch(schema, list(zip(*out[a : a + 1024], strict=True)))
+                query = np.array([*vector, 0.0])
+                cells = np.array(index.visit(query, enough), dtype=np.int64)
+                near, far = index.distances(query)
+                radius = near[cells[-1] // width] + far[cells[-1] % width]  # of the last cell, the farthest one
+                first, last = (ends[cells] - sizes[cells]) // block, (ends[cells] - 1) // block
+                blocks = np.unique(np.concatenate([first, last, *(np.arange(a, b) for a, b in zip(first, last, strict=True) if b - a > 1)]))
+                m = len(blocks)
+                yield record_batch(schema, [blocks, np.ones(m, np.int32), np.full(m, entry), np.full(m, -1), [vector] * m, np.full(m, radius), [None] * m])
 
     searched = asked.select("entry").distinct().join(celled, "entry")
     dealt = celled.mapInArrow(deal, ddl).union(searched.select("entry", "embedding").mapInArrow(probe, ddl))
-    dealt = dealt.repartition("block").sortWithinPartitions("block", "kind")
+    dealt = dealt.repartition(int((ends[-1] - 1) // block) + 1, "block").sortWithinPartitions("block", "kind")
     found_schema = pa.schema([("entry", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
 
     def rank(batches):
+        index, _ = sent.value
         held, parts = None, []
         vectors = cells = ids = None
         for batch in batches:
-            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
+            at_block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(at_block) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at_block)], strict=True):
                 if a == b:
                     continue
-                if block[a] != held:
-                    held, parts, vectors = int(block[a]), [], None
+                if at_block[a] != held:
+                    held, parts, vectors = int(at_block[a]), [], None
                 piece = batch.slice(a, b - a)
                 if kind[a] == 0:
                     parts.append(piece)
@@ -230,8 +296,11 @@ def search(embeddings: DataFrame, query_step: int = QUERY_STEP, top: int = TOP,
                     parts = []
                 for at in range(0, piece.num_rows, QUERIES):
                     some = piece.slice(at, QUERIES)
-                    masks = np.unpackbits(np.stack([np.frombuffer(m, dtype=np.uint8) for m in some.column("mask").to_pylist()]), axis=1).astype(bool)
-                    score = np.where(masks[:, cells], _matrix(some.column("vector")) @ vectors.T, -np.inf)
+                    asking, radius = _matrix(some.column("vector")), some.column("radius").to_numpy()
+                    score = asking @ vectors.T
+                    for q in range(len(score)):
+                        near, far = index.distances(np.append(asking[q], 0.0))
+                        score[q, near[cells // width] + far[cells % width] > radius[q]] = -np.inf
                     m = min(keep, score.shape[1])
                     # Ties at the cut are settled by the smallest id, so all that reach it stay.
                     least = np.partition(score, score.shape[1] - m, axis=1)[:, score.shape[1] - m]
