@@ -1,8 +1,10 @@
 """License scan of whole texts.
 
 Two Aho-Corasick automata run over every text: one over its words, for notice phrases, and one over its lower-cased bytes, for
-identifier tags. What follows a tag on its line is read as a license expression: a shunting-yard pass puts and / or / with into
-postfix order and an evaluation gives the obligation of the whole.
+identifier tags. What follows a tag on its line is read as a license expression, up to the first word that cannot continue one:
+a shunting-yard pass puts and / or / with into postfix order and an evaluation gives the obligation of the whole. An identifier
+belongs to a family if it is its name, or its name and then a version (a digit, or v and a digit) or a further part after a dash,
+dot or plus.
 
 Defined cases: a null or empty text has no words, no places and score 0; phrases that overlap each count; a malformed
 expression gives the labels of its known identifiers but no obligation; a text of any length is scanned whole; repeated rows
@@ -44,7 +46,7 @@ NOTICE_PHRASES = {
 }
 # Tags that a license expression follows, in lower case.
 TAGS = ("spdx-license-identifier:", "license-expression:", "license identifier:")
-# Families of license identifiers by prefix, longest first, with the obligation each carries: 0 none, 1 notice, 2 share changes
+# Families of license identifiers by name, longest first, with the obligation each carries: 0 none, 1 notice, 2 share changes
 # to the files, 3 share the whole work, 4 no grant for every use.
 FAMILIES = (
     ("public-domain", "public-domain", 0),
@@ -70,10 +72,45 @@ FAMILIES = (
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[()]|[a-z0-9.+-]+")
 _LINE = re.compile(rb"[^\r\n]*")
+#: What may follow a family's name in an identifier.
+_FURTHER = re.compile(r"$|v?\d|[-.+]")
 
 
 def family(identifier: str) -> tuple[str, int] | None:
-    return next(((label, level) for prefix, label, level in FAMILIES if identifier.startswith(prefix)), None)
+    """The label and obligation of an identifier's family."""
+    return next(((label, level) for name, label, level in FAMILIES if identifier.startswith(name) and _FURTHER.match(identifier, len(name))), None)
+
+
+def leading(line: str) -> str:
+    """The tokens at the start of a line that can be an expression: operands and operators in turn, brackets where they fit. A dot
+    at a token's end ends it."""
+    out: list[str] = []
+    operand, depth, at = True, 0, 0  # whether an operand has to come next
+    for found in _TOKEN.finditer(line):
+        token = found[0]
+        if line[at : found.start()].strip():  # something else stands between
+            break
+        at = found.end()
+        plain = token.rstrip(".") if token not in "()" else token
+        if not plain:
+            break
+        if operand:
+            if plain == ")" or plain in _PRECEDENCE:
+                break
+            depth += plain == "("
+            operand = plain == "("
+        elif plain == ")":
+            if not depth:
+                break
+            depth -= 1
+        elif plain in _PRECEDENCE:
+            operand = True
+        else:
+            break
+        out.append(plain)
+        if plain != token:
+            break
+    return " ".join(out)
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -150,16 +187,14 @@ def _tags():
 
 
 def expressions(text: bytes) -> list[str]:
-    """What follows the tags of a text, in lower case, up to the line's end."""
+    """The expressions that follow the tags of a text, in lower case."""
     low = text.lower()
     if b"license" not in low:
         return []
     out = []
     for end, _ in _tags().iter(low.decode("latin-1")):
-        line = _LINE.match(low, end + 1)[0].decode("utf-8", "ignore")
-        run = re.match(r"[\sa-z0-9.+()-]*", line)[0].strip()
-        if run:
-            out.append(run.rstrip("."))
+        if run := leading(_LINE.match(low, end + 1)[0].decode("utf-8", "replace")):
+            out.append(run)
     return out
 
 
