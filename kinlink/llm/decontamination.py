@@ -6,23 +6,27 @@ words are never streamed: a window always contains one of the short probes taken
 of probes that occur in the items can hold a window.
 
 The items are cut into shards of bounded size; each shard's automaton reaches the workers by a broadcast, and the documents
-pass once for each shard (one, unless the benchmark is very large).
+are read once for each shard (one, unless the benchmark is very large). What the passes of several shards find comes out of them
+by row number, for rows with hits alone, and is merged.
 
 Defined cases: null has no words; an item without words has no window; a document without words is clean; repeated items and
 rows each count; an empty benchmark leaves every document clean; an empty table gives no rows; further columns of either table
-are not read, whatever their names.
+are not read, whatever their names, and stay.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import _WORD_BYTES, cut_lineage, small_batches, table, words
+from .common import _WORD_BYTES, cut_lineage, small_batches, table, unused, word_count, words, write_table
 
 WINDOW = 13
 #: Words of one shard of the benchmark: about 700 bytes each in a worker.
@@ -171,19 +175,50 @@ def _shards(bench: DataFrame, shard_words: int) -> Iterator[list[tuple[int, list
     yield shard
 
 
+#: The columns that contamination() adds, unless docs has them already.
+_FOUND = ("n_words__", "spans__", "items__")
+_SPANS = "array<struct<a:bigint,b:bigint>>"
+_SPANS_ARROW = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def added(docs: DataFrame) -> list[str]:
+    """The names of the columns that contamination() adds to docs: those of _FOUND, longer where docs has such a column."""
+    return unused(docs.columns, *_FOUND)
+
+
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The rows of docs (a column text and any others) with n_words__, spans__ (ranges of hit words, from and to) and items__
-    (ids of the items with occurring windows, as sorted strings). bench has item_id and text."""
+    (ids of the items with occurring windows, as sorted strings), or what added() names them. bench has item_id and text."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in _FOUND.items()})
-    for k, shard in enumerate(_shards(bench, shard_words)):
-        # A further shard's automaton takes the place of the one before: the passes must not run in one pipeline.
-        out = _one_pass(cut_lineage(out) if k else out, spark.sparkContext.broadcast(SuffixAutomaton(shard, window)))
-    return out
-
+    shards = _shards(bench, shard_words)
+    first, second = next(shards), next(shards, None)
+    n_words, spans, items = added(docs)
+    if second is None:
+        found = _streamed(docs, spark.sparkContext.broadcast(SuffixAutomaton(first, window)), docs.columns, [spans, items])
+        return found.withColumn(n_words, word_count()).select(*docs.columns, n_words, spans, items)
+    # A pass for each shard; only the rows with hits, by number, come out of it.
+    row = unused([*docs.columns, n_words, spans, items], "row")[0]
+    rows = spark.read.parquet(write_table(docs.withColumn(row, F.monotonically_increasing_id())))
+    passes = []
+    for shard in chain([first, second], shards):
+        sent = spark.sparkContext.broadcast(SuffixAutomaton(shard, window))
+        passes.append(cut_lineage(_streamed(rows.select(row, "text"), sent, [row], [spans, items]).where(F.size(spans) > 0)))
+        sent.unpersist()
+    every = reduce(DataFrame.unionAll, passes).groupBy(row).agg(F.flatten(F.collect_list(spans)).alias(spans), F.flatten(F.collect_list(items)).alias(items))
+    found = _merged(every, row, spans, items)
+    joined = rows.join(found, row, "left").withColumns({n_words: word_count(), spans: F.coalesce(spans, F.array().cast(_SPANS)), items: F.coalesce(items, F.array().cast("array<string>"))})
+    return joined.select(*docs.columns, n_words, spans, items)
+
+
+def _merged(found: DataFrame, row: str, spans: str, items: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            ranges = [[{"a": a, "b": b} for a, b in _union([(x["a"], x["b"]) for x in many])] for many in batch.column(spans).to_pylist()]
+            known = [sorted(set(x)) for x in batch.column(items).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(row), pa.array(ranges, _SPANS_ARROW), pa.array(known, pa.list_(pa.string()))], names=[row, spans, items])
 
-_FOUND = {"n_words__": "bigint", "spans__": "array<struct<a:bigint,b:bigint>>", "items__": "array<string>"}
+    return found.select(row, spans, items).mapInArrow(run, f"`{row}` bigint, `{spans}` {_SPANS}, `{items}` array<string>")
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -196,72 +231,72 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _one_pass(docs: DataFrame, sent) -> DataFrame:
-    spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+def _streamed(docs: DataFrame, sent, keep: list[str], names: list[str]) -> DataFrame:
+    """The columns keep of docs with the spans and items that one automaton finds in the column text."""
+    schema = StructType([*(docs.schema[c] for c in keep), *StructType.fromDDL(f"`{names[0]}` {_SPANS}, `{names[1]}` array<string>").fields])
 
     def run(batches):
         automaton = sent.value
         for batch in batches:
-            n, spans, items = [], [], []
-            before = zip(batch.column("spans__").to_pylist(), batch.column("items__").to_pylist(), strict=True)
-            for text, (ranges, known) in zip(batch.column("text").cast(pa.binary()), before, strict=True):
-                seq = words(text.as_buffer().to_pybytes()) if text.is_valid else []
-                hit, found = automaton.hits(seq)
-                if ranges:
-                    hit = _union(hit + [(x["a"], x["b"]) for x in ranges])
-                n.append(len(seq))
+            spans, items = [], []
+            for text in batch.column("text").cast(pa.binary()):
+                hit, found = automaton.hits(words(text.as_buffer().to_pybytes())) if text.is_valid else ([], ())
                 spans.append([{"a": a, "b": b} for a, b in hit])
-                items.append(sorted({*map(str, found), *(known or ())}))
-            own = {"n_words__": pa.array(n, pa.int64()), "spans__": pa.array(spans, spans_type), "items__": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([own.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+                items.append(sorted(map(str, found)))
+            own = [pa.array(spans, _SPANS_ARROW), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *own], names=schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
-def _n_hit():
-    return F.aggregate("spans__", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+def _n_hit(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
 
 
-def is_contaminated():
-    return (_n_hit() > 0) & (_n_hit() * SHARE >= F.col("n_words__"))
+def is_contaminated(n_words: str = _FOUND[0], spans: str = _FOUND[1]) -> Column:
+    return (_n_hit(spans) > 0) & (_n_hit(spans) * SHARE >= F.col(n_words))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of docs that the rule leaves: those whose hit words reach the coverage limit go, all others stay unchanged."""
-    return contamination(docs, bench).where(~is_contaminated()).drop(*_FOUND)
+    n_words, spans, _ = added(docs)
+    return contamination(docs, bench).where(~is_contaminated(n_words, spans)).select(docs.columns)
 
 
 def cut_spans(docs: DataFrame, bench: DataFrame, longest: int = WINDOW) -> DataFrame:
     """The rows of docs with every range of at least `longest` hit words cut out of the text, from the first byte of its first
-    word to the last of its last; n_cut counts the words that went."""
-    found = contamination(docs, bench).withColumn("n_cut", F.lit(0).cast("long"))
+    word to the last of its last; n_cut (or n_cut_, where docs has that) counts the words that went."""
+    spans, columns = added(docs)[1], docs.columns
+    n_cut = unused(columns, "n_cut")[0]
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{n_cut}` bigint").fields])
 
     def run(batches):
         for batch in batches:
             out, cut = [], []
-            for text, spans in zip(batch.column("text").cast(pa.binary()), batch.column("spans__").to_pylist(), strict=True):
+            for text, ranges in zip(batch.column("text").cast(pa.binary()), batch.column(spans).to_pylist(), strict=True):
                 raw, n = (text.as_buffer().to_pybytes() if text.is_valid else None), 0
-                wide = [(x["a"], x["b"]) for x in spans if x["b"] - x["a"] >= longest]
+                wide = [(x["a"], x["b"]) for x in ranges if x["b"] - x["a"] >= longest]
                 if wide:
                     at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_WORD_BYTES))]
                     for a, b in reversed(wide):
                         raw, n = raw[: at[a][0]] + raw[at[b - 1][1] :], n + b - a
                 out.append(raw)
                 cut.append(n)
-            own = {"text": pa.array(out, pa.binary()).cast(pa.string()), "n_cut": pa.array(cut, pa.int64())}
-            yield pa.RecordBatch.from_arrays([own.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+            text = pa.array(out, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*(text if c == "text" else batch.column(c) for c in columns), pa.array(cut, pa.int64())], names=schema.names)
 
-    return found.mapInArrow(run, found.schema).drop(*_FOUND)
+    return contamination(docs, bench).select(*columns, spans).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Counts of each document of docs (doc_id, text)."""
+    n_words, spans, items = _FOUND
     return contamination(docs.select("doc_id", "text"), bench).select(
         "doc_id",
-        F.col("n_words__").alias("n_words"),
-        _n_hit().alias("n_hit"),
-        F.size("items__").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items__", ","), 256).alias("items_sha256"),
+        F.col(n_words).alias("n_words"),
+        _n_hit(spans).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
     )
 
