@@ -3,7 +3,8 @@
 A fingerprint is cut into three segments. Two fingerprints that differ in at most four bits differ in at most one bit of the
 first or of the second segment, or in none of the third (1 + 1, 1 + 1 and 0 + 1 sum to 4 + 1). So every distinct fingerprint
 enumerates those small Hamming balls within its segments, fetches the fingerprints that have such a segment, and verifies the
-complete distance. Equal fingerprints count once. A bucket of the table that is hot is dealt to several tasks, and a bucket
+complete distance. From WIDE_FROM fingerprints on there are two segments, with balls of two bits and of one (2 + 1 + 1 + 1).
+Equal fingerprints count once. A bucket of the table that is hot is dealt to several tasks, and a bucket
 returns the edges of a spanning forest instead of all its pairs.
 
 Defined cases: a null or empty text has fingerprint 0 and links like any other; fewer words than a shingle make one shingle;
@@ -13,20 +14,27 @@ no rows; further columns are kept by deduplicate() and not read otherwise.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, record_batch, small_batches, table
+from .common import cut_lineage, record_batch, small_batches, spread_join, table
 from .components import Forest, connected_components
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-#: (lowest bit, bits, radius) of each segment; the radii plus one sum to DISTANCE + 1.
+#: (lowest bit, bits, radius) of each segment; the radii, each plus one, sum to DISTANCE + 1.
 SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
+#: Segments for tables whose fingerprints would fill the buckets of 21 bits: fewer, wider ones and larger balls.
+WIDE_SEGMENTS = ((0, 32, 2), (32, 32, 1))
+#: Distinct fingerprints from which on the wide segments are used; 512 fingerprints to a bucket of 21 bits.
+WIDE_FROM = 1 << 30
 #: Fingerprints of one bucket that a task holds; a larger bucket is dealt to several.
 BUCKET_ROWS = 4096
 #: Shingles hashed at a time; bounds memory for very long texts.
@@ -75,13 +83,13 @@ def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between fingerprints (a column fp, each once) of at most DISTANCE differing bits. They connect exactly what
     all such pairs connect."""
     entries, probes = [], []
-    for k, (low, bits, radius) in enumerate(SEGMENTS):
-        masks = [0] + [1 << i for i in range(bits)] * radius
+    for k, (low, bits, radius) in enumerate(SEGMENTS if distinct.count() < WIDE_FROM else WIDE_SEGMENTS):
+        masks = [sum(1 << i for i in flips) for r in range(radius + 1) for flips in combinations(range(bits), r)]
         value = _segment(low, bits)
         name = F.lit(k << 32)
         entries.append(distinct.select((value + name).alias("bucket"), "fp"))
         probes.append(distinct.select(F.explode(F.array(*[(value.bitwiseXOR(F.lit(m).cast("long")) + name) for m in masks])).alias("bucket"), "fp"))
-    entry, probe = entries[0].union(entries[1]).union(entries[2]), probes[0].union(probes[1]).union(probes[2])
+    entry, probe = reduce(DataFrame.union, entries), reduce(DataFrame.union, probes)
     # How many tasks share a bucket; one for nearly all, which the table of the others leaves out.
     hot = entry.groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS).select("bucket", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("parts"))
     hot = cut_lineage(hot)
@@ -166,13 +174,14 @@ def _connect(held: np.ndarray, probes: np.ndarray, forest: Forest) -> np.ndarray
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
     prints = cut_lineage(fingerprints(docs))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(links(distinct.select("fp")))
     linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(smallest, "root").select("fp", "component_id")
+    linked = cut_lineage(linked)
+    named = spread_join(linked, smallest, ["root"], linked.groupBy("root").agg(F.count("*").alias("n")), "fp").select("fp", "component_id")
     named = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(prints, named, ["fp"], distinct, "doc_id").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
