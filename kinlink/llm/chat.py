@@ -1,11 +1,13 @@
 """Chat formatting with DataFrame functions only.
 
 A table of any of the known layouts is recognised by the hash of its sorted nested field paths, which selects a declarative
-mapping (Spark SQL expressions) to canonical turns, an array of (role, text). A template then writes the turns as one string
+mapping (Spark SQL expressions) to canonical turns, an array of (role, text). In a table that holds several layouts side by side
+each row goes by the columns that it fills. A template then writes the turns as one string
 with role marks and end marks; marks inside texts are escaped, reversibly, and the output can be read back.
 
 Defined cases: null texts are empty, a null role is "user"; a conversation without turns gives an empty string; equal turn
-numbers are ordered by role and text; a null conversation id is a conversation of its own; further columns are ignored, since
+numbers are ordered by role and text, and null ones come first; rows without a conversation id are one conversation; integers
+of any width can number turns; repeated rows are repeated turns; an empty table gives no rows; further columns are ignored, since
 the layout is looked up by the mapping's own paths if the whole table's paths match none.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +31,18 @@ LOSS_ROLES = ("assistant",)
 TURNS = "array<struct<role:string,text:string>>"
 
 
+# Leaf types that count as another in a path.
+_LEAVES = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint"}
+
+
 def field_paths(kind: DataType, prefix: str = "") -> list[str]:
     """Sorted nested field paths with their leaf types; [] marks an array's elements."""
     if isinstance(kind, StructType):
         return sorted(p for f in kind.fields for p in field_paths(f.dataType, f"{prefix}.{f.name.lower()}" if prefix else f.name.lower()))
     if isinstance(kind, ArrayType):
         return field_paths(kind.elementType, f"{prefix}[]")
-    return [f"{prefix}:{kind.simpleString()}"]
+    leaf = kind.simpleString()
+    return [f"{prefix}:{_LEAVES.get(leaf, leaf)}"]
 
 
 def fingerprint(paths: list[str]) -> str:
@@ -85,25 +93,35 @@ MAPPINGS = (
 _BY_KEY = {m.key: m for m in MAPPINGS}
 
 
-def mapping_of(schema: StructType, conversation_id: str) -> Mapping:
-    """The mapping whose fingerprint is that of the whole table's paths without the id, else the one with most paths among
-    those that the table has all paths of."""
+def mappings_of(schema: StructType, conversation_id: str) -> list[Mapping]:
+    """The mapping whose fingerprint is that of the whole table's paths without the id, else those that the table has all paths
+    of, by their number of paths."""
     paths = [p for p in field_paths(schema) if p.split(":")[0] != conversation_id.lower()]
     if (found := _BY_KEY.get(fingerprint(paths))) is not None:
-        return found
+        return [found]
     fitting = [m for m in MAPPINGS if set(m.paths) <= set(paths)]
     if not fitting:
         raise ValueError(f"no mapping for a layout with the paths {paths}")
-    return max(fitting, key=lambda m: len(m.paths))
+    fitting.sort(key=lambda m: -len(m.paths))
+    return fitting[:1] if fitting[0].rows else [m for m in fitting if not m.rows]
+
+
+def _turns(mappings: list[Mapping]) -> Column:
+    """The canonical turns of a row: by the first mapping all of whose columns the row has (is not null in), else by the first."""
+    turns = F.expr(mappings[0].turns).cast(TURNS)
+    for m in reversed(mappings):
+        columns = {p.split(":")[0].split(".")[0].removesuffix("[]") for p in m.paths}
+        turns = F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in sorted(columns)]), F.expr(m.turns).cast(TURNS)).otherwise(turns)
+    return turns
 
 
 def canonical(df: DataFrame, conversation_id: str) -> DataFrame:
     """(conv_id, turns) of a table of any known layout."""
-    mapping = mapping_of(df.schema, conversation_id)
-    if mapping.rows is None:
-        rows = df.select(F.col(conversation_id).alias("conv_id"), F.expr(mapping.turns).cast(TURNS).alias("turns"))
+    mappings = mappings_of(df.schema, conversation_id)
+    if mappings[0].rows is None:
+        rows = df.select(F.col(conversation_id).alias("conv_id"), (F.expr(mappings[0].turns).cast(TURNS) if len(mappings) == 1 else _turns(mappings)).alias("turns"))
     else:
-        order, turn = mapping.rows
+        order, turn = mappings[0].rows
         rows = (
             df.select(F.col(conversation_id).alias("conv_id"), F.struct(F.col(order).alias("n"), F.expr(turn).cast("struct<role:string,text:string>").alias("t")).alias("row"))
             .groupBy("conv_id")

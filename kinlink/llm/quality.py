@@ -7,8 +7,9 @@ a bounded labelled sample gives the latent directions; the sample's latent vecto
 takes the exact cosine of each document with all of them, block by block, and lets the nearest vote by similarity.
 
 Defined cases: a null or empty text has no vector and gets the share of good labels; so does every text if no row is labelled;
-equal similarities count by the order of the sample; repeated rows get equal scores; an empty table gives no rows; further
-columns are kept by scored() and not read.
+equal similarities count by the order of the sample, which is that of doc_id; repeated rows get equal scores; a labelled doc_id
+with several texts votes with the least of them; a null doc_id has no label; an empty table gives no rows; further columns are
+kept by scored(), whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches_of, small_batches, table
+from .common import batches_of, small_batches, table, unused
 from .sampling import fold, labelled_sample
 
 FOLDS, HELD_OUT = 3, 1
@@ -132,6 +133,15 @@ def truncated_svd(x: np.ndarray, k: int, seed: int = 7, rounds: int = 4) -> np.n
     return (basis @ right.T[:, :k]).astype(np.float32)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k largest values of each row, in their order; equal ones go to the first columns."""
+    near = np.sort(np.argpartition(-cosine, k - 1, axis=1)[:, :k], axis=1)
+    least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+    for row in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):
+        near[row] = np.sort(np.argsort(-cosine[row], kind="stable")[:k])
+    return near
+
+
 class Model:
     def __init__(self, idf: np.ndarray | None, directions: np.ndarray | None, vectors: np.ndarray | None, votes: np.ndarray | None, weights: np.ndarray | None, prior: float):
         self.idf, self.directions, self.vectors, self.votes, self.weights, self.prior = idf, directions, vectors, votes, weights, prior
@@ -145,7 +155,7 @@ class Model:
             return np.full(len(found), self.prior)
         cosine = self.latent(found) @ self.vectors.T
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.sort(np.argpartition(-cosine, k - 1, axis=1)[:, :k], axis=1)
+        near = nearest(cosine, k)
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS * self.weights[near]
         total = weight.sum(axis=1)
         return np.where(total > 1e-9, (weight * self.votes[near]).sum(axis=1) / np.maximum(total, 1e-9), self.prior)
@@ -183,9 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with the column quality__, from 0 to 1. The model is at most 2 * SAMPLE_PER_CLASS vectors of LATENT
+    """The rows of docs with the column quality__ (quality___ where docs has that), from 0 to 1. The model is at most 2 * SAMPLE_PER_CLASS vectors of LATENT
     numbers and DIMENSIONS * LATENT directions, about two megabytes, so it is sent to every task."""
     small_batches(docs.sparkSession)
+    name = unused(docs.columns, "quality__")[0]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -194,9 +205,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             score: list[float] = []
             for a in range(0, batch.num_rows, BLOCK):
                 score += model.scores([reader.counts(x.as_py() or "") for x in batch.column("text").slice(a, BLOCK)]).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "quality__"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality__", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

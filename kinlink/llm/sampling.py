@@ -16,7 +16,7 @@ def fold(column: str, modulus: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> tuple[DataFrame, dict[int, float]]:
     """(doc_id, label, text) of at most per_class documents of each class, the first by a hash of their id, none of them of the
     held-out fold; and for each class how many labelled documents one of the sample stands for. A document labelled twice
-    counts as its higher label; of repeated rows of a document one is taken."""
+    counts as its higher label; of several texts of a document the least is taken."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", modulus) != held_out))
         .groupBy("doc_id")
@@ -26,7 +26,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     order = F.xxhash64("doc_id")
     chosen = known.where("label = 0").orderBy(order, "doc_id").limit(per_class).union(known.where("label = 1").orderBy(order, "doc_id").limit(per_class))
     # Bounded by 2 * per_class rows of two numbers, so it is sent to every task.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.first("text").alias("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = cut_lineage(rows)
     found = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     return rows, {c: totals[c] / n for c, n in found.items()}

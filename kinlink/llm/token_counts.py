@@ -47,6 +47,7 @@ def limit_table(histogram: DataFrame, limits: tuple[int, ...] = LIMITS) -> DataF
     limit, all tokens, and the share of documents that fit (the limit is the quantile at that share)."""
     spark = histogram.sparkSession
     asked = spark.createDataFrame([(int(x),) for x in limits], "length long").withColumn("n_docs", F.lit(0).cast("long"))
+    # A block's rows are lengths, 4096 at most, however many documents have them.
     points = (
         histogram.unionByName(asked)
         .groupBy("length")
@@ -54,38 +55,45 @@ def limit_table(histogram: DataFrame, limits: tuple[int, ...] = LIMITS) -> DataF
         .withColumn("block", F.floor(F.col("length") / BLOCK))
         .withColumn("tokens", F.col("length") * F.col("n_docs"))
     )
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     everything = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = (
         points.groupBy("block")
         .agg(F.sum("n_docs").alias("n"), F.sum("tokens").alias("t"))
         .select(
             "block",
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("docs_below"),
-            F.coalesce(F.sum("t").over(before), F.lit(0)).alias("tokens_below"),
+            F.coalesce(F.sum("n").over(above), F.lit(0)).alias("docs_above"),
+            F.coalesce(F.sum("t").over(above), F.lit(0)).alias("tokens_above"),
             F.sum("n").over(everything).alias("all_docs"),
             F.sum("t").over(everything).alias("total_tokens"),
         )
     )
-    inside = Window.partitionBy("block").orderBy("length").rowsBetween(Window.unboundedPreceding, 0)
-    at_most = F.col("docs_below") + F.sum("n_docs").over(inside)
-    fitting = F.col("tokens_below") + F.sum("tokens").over(inside)
+    longer = Window.partitionBy("block").orderBy("length").rowsBetween(1, Window.unboundedFollowing)
     return (
         points.join(blocks, "block")
-        .withColumn("docs_at_most", at_most)
-        .withColumn("tokens_at_most", fitting)
+        .withColumn("docs_over", F.col("docs_above") + F.coalesce(F.sum("n_docs").over(longer), F.lit(0)))
+        .withColumn("tokens_over", F.col("tokens_above") + F.coalesce(F.sum("tokens").over(longer), F.lit(0)))
         .select(
             F.col("length").alias("context_limit"),
             "n_docs",
-            "docs_at_most",
-            (F.col("all_docs") - F.col("docs_at_most")).alias("docs_over"),
-            "tokens_at_most",
-            (F.col("tokens_at_most") + F.col("length") * (F.col("all_docs") - F.col("docs_at_most"))).alias("truncated_tokens"),
+            (F.col("all_docs") - F.col("docs_over")).alias("docs_at_most"),
+            "docs_over",
+            (F.col("total_tokens") - F.col("tokens_over")).alias("tokens_at_most"),
+            (F.col("total_tokens") - F.col("tokens_over") + F.col("length") * F.col("docs_over")).alias("truncated_tokens"),
             "total_tokens",
-            F.when(F.col("all_docs") > 0, F.col("docs_at_most") / F.col("all_docs")).alias("quantile"),
+            F.when(F.col("all_docs") > 0, (F.col("all_docs") - F.col("docs_over")) / F.col("all_docs")).alias("quantile"),
         )
     )
 
 
+def lengths_at(histogram: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(share, length): the smallest length that at least such a share of the documents does not exceed, null for an empty
+    table; a share of 0 gives the smallest length."""
+    spark = histogram.sparkSession
+    asked = spark.createDataFrame([(float(x),) for x in shares], "share double")
+    reached = limit_table(histogram, ()).select("context_limit", "quantile").join(F.broadcast(asked), F.col("quantile") >= F.col("share"))
+    return asked.join(reached.groupBy("share").agg(F.min("context_limit").alias("length")), "share", "left")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_table(length_histogram(table(spark, sf_dir, "documents")))

@@ -8,8 +8,10 @@ The model's posterior labels, with the known labels as one more voter, train a l
 words, and that scores every whole text.
 
 Defined cases: a null or empty text fires no voter and gets the score of a text without any known word; without labelled rows
-of both classes the score is the share of toxic labels (0 without any); repeated rows get equal scores; an empty table gives no
-rows; further columns are kept by scored() and not read.
+of both classes the score is the share of toxic labels (0 without any); terms that are equally telling go by their bytes, and a
+score of exactly the threshold is toxic; repeated rows get equal scores; a labelled doc_id with several texts trains on the
+least of them; a null doc_id has no label; an empty table gives no rows; further columns are kept by scored(), whatever their
+names, and not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches_of, small_batches, table, words
+from .common import batches_of, small_batches, table, unused, words
 from .sampling import fold, labelled_sample
 
 FOLDS, HELD_OUT = 5, 0
@@ -268,21 +270,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     return Model(terms, fit_linear(x, posterior, weight / weight.mean()), prior)
 
 
+def score_name(docs: DataFrame) -> str:
+    return unused(docs.columns, "toxicity__")[0]
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with the column toxicity__, from 0 to 1."""
+    """The rows of docs with the column toxicity__ (or what score_name() calls it), from 0 to 1."""
     small_batches(docs.sparkSession)
+    name = score_name(docs)
 
     def run(batches):
         reader = Reader(model.terms)
         for batch in batches:
             score = pa.array(model.scores(_texts([batch]), reader), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "toxicity__"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxicity__", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    return scored(docs, train(docs, labels)).where(F.col("toxicity__") < threshold).drop("toxicity__")
+    return scored(docs, train(docs, labels)).where(F.col(score_name(docs)) < threshold).select(docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
