@@ -20,6 +20,23 @@ _LEGAL = r"(?i)\b(" + "|".join(LEGAL_FORMS) + r")\b"
 # Letters that decomposition leaves as they are.
 _LIGATURES = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L"}
 
+# Latin spellings of letters whose Unicode names don't tell them.
+_CYRILLIC = dict(zip(
+    "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґў",
+    "a b v g d e yo zh z i y k l m n o p r s t u f kh ts ch sh shch - y - e yu ya i yi ye g u".split(), strict=True,
+))
+_GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d e z i th i k l m n x o p r s s t y f ch ps o".split(), strict=True))
+_ARABIC = dict(zip("ابتثجحخدذرزسشصضطظعغفقكلمنهويةىءأإآؤئپچژگ", "a b t th j h kh d dh r z s sh s d t z a gh f q k l m n h w y h a - a i a w y p ch zh g".split(), strict=True))
+_SPELT = {letter: "" if plain == "-" else plain for table in (_CYRILLIC, _GREEK, _ARABIC) for letter, plain in table.items()}
+
+
+def _spelt(ch: str) -> str | None:
+    """A letter of an alphabet with a table, its accents dropped; a capital gives a capital."""
+    for low in (ch.lower(), unicodedata.normalize("NFD", ch.lower())[0]):
+        if (plain := _SPELT.get(low)) is not None:
+            return plain.capitalize() if ch != ch.lower() else plain
+    return None
+
 
 def is_ascii(text: Column) -> Column:
     return text.rlike(r"^[\x00-\x7F]*$")
@@ -45,12 +62,16 @@ def drop_punctuation(text: Column) -> Column:
 @lru_cache(maxsize=1 << 17)
 def romanised_word(word: str) -> str:
     """Latin spelling of a word by the Unicode names of its letters: an Indic consonant carries an inherent a that a vowel sign
-    replaces and a virama drops; other letters lose their marks."""
+    replaces and a virama drops, kana and Hangul syllables are named by their sound; Cyrillic, Greek and Arabic letters go by
+    tables; other letters lose their marks. Han characters, whose readings no rule gives, stay."""
     out: list[str] = []
     for ch in word:
         if ch.isascii():
             out.append(ch)
             continue
+        if (plain := _spelt(ch)) is not None:
+            out.append(plain)
+            continue
         name = unicodedata.name(ch, "")
         script, _, rest = name.partition(" ")
         if rest.startswith("VOWEL SIGN ") or rest.startswith("SIGN VIRAMA"):
@@ -58,6 +79,8 @@ def romanised_word(word: str) -> str:
                 out[-1] = out[-1][:-1]
             if rest.startswith("VOWEL"):
                 out.append(rest.removeprefix("VOWEL SIGN ").split()[-1].lower())
+        elif script == "HANGUL" and rest.startswith("SYLLABLE "):
+            out.append(rest.removeprefix("SYLLABLE ").lower())
         elif rest.startswith("LETTER ") and script not in ("LATIN", "GREEK", "CYRILLIC"):
             out.append(rest.split()[-1].lower())
         elif (digit := unicodedata.digit(ch, None)) is not None:

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,9 @@ PLACES = 5
 #: Part of a country's candidates that the cells a query meets have to hold, and the least number of them. Measured recall is in
 #: the README.
 SHARE, LEAST_ENTRIES = 0.6, 2000
-#: Vectors that meet all centroids at once.
+#: Candidates of one block of the exact search.
+BLOCK = 8192
+#: Vectors that meet all centroids, or a block, at once.
 _ROWS = 256
 
 
@@ -33,11 +36,55 @@ def unit(vector: Column) -> Column:
 
 
 def dense_top_k(queries: DataFrame, candidates: DataFrame, k: int = 30) -> DataFrame:
-    """Exact: every query meets every candidate of its country (a stated query set against all rows)."""
-    q = queries.select("country", F.col("id").alias("source1_entity_id"), unit(F.col("vector")).alias("a"))
-    c = candidates.select("country", F.col("id").alias("candidate_entity_id"), unit(F.col("vector")).alias("b"))
-    pairs = q.join(c, "country").withColumn("similarity_score", F.round(dot(F.col("a"), F.col("b")), PLACES)).drop("a", "b")
-    return top_k(pairs, k)
+    """Exact: every query meets every candidate of its country (a stated query set against all rows). The candidates of a country
+    are dealt to blocks of BLOCK rows; a query goes to each block of its country, and a task multiplies the queries with one
+    block after another and keeps the k best of each."""
+    c = candidates.select("country", "id", unit(F.col("vector")).alias("v"))
+    q = queries.select("country", "id", unit(F.col("vector")).alias("v"))
+    blocks = c.groupBy("country").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    filed = c.join(blocks, "country").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("kind", F.lit(0))
+    asked = q.join(blocks, "country").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
+    columns = ("country", "block", "kind", "id", "v")
+    rows = filed.select(*columns).union(asked.select(*columns)).repartition("country", "block").sortWithinPartitions("country", "block", "kind")
+    return top_k(rows.mapInArrow(_block_top(k), _PAIRS), k)
+
+
+_PAIRS = "country string, source1_entity_id string, candidate_entity_id string, similarity_score double"
+
+
+def _block_top(k: int):
+    """The k best of each query and block, of rows sorted by country, block and kind: candidates before queries."""
+
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def run(batches):
+        key, ids, parts, vectors = None, [], [], None
+        for batch in batches:
+            country, block, kind = (batch.column(c).to_pylist() for c in ("country", "block", "kind"))
+            starts = [i for i in range(batch.num_rows) if not i or (country[i], block[i], kind[i]) != (country[i - 1], block[i - 1], kind[i - 1])]
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if (country[a], block[a]) != key:
+                    key, ids, parts, vectors = (country[a], block[a]), [], [], None
+                name, v = batch.column("id").slice(a, b - a).to_pylist(), matrix(batch.column("v").slice(a, b - a))
+                if kind[a] == 0:
+                    ids += name
+                    parts.append(v)
+                    continue
+                if not ids:
+                    continue
+                vectors = np.concatenate(parts) if vectors is None else vectors
+                for at in range(0, len(v), _ROWS):
+                    score = np.round(v[at : at + _ROWS] @ vectors.T, PLACES)
+                    m = min(k, score.shape[1])
+                    least = np.partition(score, score.shape[1] - m, axis=1)[:, score.shape[1] - m]
+                    out = []
+                    for i, asked in enumerate(name[at : at + _ROWS]):
+                        best = sorted(np.flatnonzero(score[i] >= least[i]).tolist(), key=lambda j: (-score[i, j], ids[j]))[:m]
+                        out += [(country[a], asked, ids[j], float(score[i, j])) for j in best]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["country", "source1_entity_id", "candidate_entity_id", "similarity_score"])
+
+    return run
 
 
 def cells_for(n: int) -> int:

@@ -114,3 +114,10 @@ def stratified_sample(entities: DataFrame, per_country: int, seed: int = 7) -> D
     """At most so many records of each country, the first by a hash of the id."""
     order = Window.partitionBy("country").orderBy(F.xxhash64("entity_id", F.lit(seed)), "entity_id")
     return entities.withColumn("n__", F.row_number().over(order)).where(F.col("n__") <= per_country).drop("n__")
+
+
+def sample_pairs(entities: DataFrame, truth: DataFrame, n: int = 10, seed: int = 7) -> DataFrame:
+    """Some true pairs with the names and addresses of both sides, the first by a hash of their ids."""
+    few = truth.orderBy(F.xxhash64("source1_entity_id", "candidate_entity_id", F.lit(seed)), "source1_entity_id", "candidate_entity_id").limit(n)
+    sides = [entities.select(F.col("entity_id").alias(c), F.col("business_name").alias(f"name{k}"), F.col("business_address").alias(f"address{k}")) for k, c in ((1, "source1_entity_id"), (2, "candidate_entity_id"))]
+    return few.join(sides[0], "source1_entity_id").join(sides[1], "candidate_entity_id")

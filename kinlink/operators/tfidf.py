@@ -58,7 +58,7 @@ def sizes_of(texts: DataFrame) -> DataFrame:
 
 def fit_transform(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_on: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, unit postings of all texts); fit_on says which records the vocabulary is fitted on."""
-    tf = term_frequencies(texts, grams)
+    tf = term_frequencies(texts, grams).persist()  # read for the vocabulary and for the postings
     if fit_on is None and config.fit_sample is None:
         vocab = vocabulary(tf, sizes_of(texts), config)
     else:

@@ -35,8 +35,9 @@ def id_lists(reference: DataFrame, pairs: DataFrame, name: str = "matched_entity
     """A row for each reference id with its candidates in order of rank, empty where it has none."""
     lists = pairs.groupBy("source1_entity_id").agg(F.sort_array(F.collect_list(F.struct("rank", "candidate_entity_id"))).alias("found"))
     ids = F.transform("found", lambda x: x["candidate_entity_id"])
-    joined = reference.select(F.col("entity_id").alias("source1_entity_id")).join(lists, "source1_entity_id", "left")
-    return joined.select("source1_entity_id", F.coalesce(F.array_join(F.array_distinct(ids), ","), F.lit("")).alias(name))
+    row = ["row"] if "row" in reference.columns else []  # the order of the input, where it is known
+    joined = reference.select(F.col("entity_id").alias("source1_entity_id"), *row).join(lists, "source1_entity_id", "left")
+    return joined.select(*row, "source1_entity_id", F.coalesce(F.array_join(F.array_distinct(ids), ","), F.lit("")).alias(name))
 
 
 def scored_lists(pairs: DataFrame) -> DataFrame:

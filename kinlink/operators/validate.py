@@ -24,6 +24,10 @@ class Report:
     def ok(self) -> bool:
         return not self.errors
 
+    @property
+    def exit_code(self) -> int:
+        return 0 if self.ok else 1
+
 
 def header_problem(line: str | None, expected: tuple[str, str]) -> str | None:
     """What is wrong with the first line of a file, or None."""
@@ -106,6 +110,9 @@ def validate_files(spark: SparkSession, matching: str, candidates: str | None =
         if problem := header_problem(first[0] if first else None, expected):
             report.errors.append(f"{path}: {problem}")
             continue
+        heads = lines.where(F.lower("value") == first[0].lower()).groupBy(F.input_file_name()).agg((F.count("*") - 1).alias("n"))
+        if again := heads.agg(F.sum("n")).first()[0]:
+            report.errors.append(f"{path}: repeated header ({again})")
         body = lines.where(F.lower("value") != first[0].lower())
         parts[expected] = parsed(body)
         for r in issues(parts[expected], required, known, body).orderBy("issue").collect():  # a row for each kind of issue

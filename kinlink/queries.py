@@ -225,7 +225,7 @@ def leg_union(spark, d):
 def validate_lists(spark, d):
     """The job's own lists, with one fault of each kind put in."""
     reference, candidates = split_roles(_parts(spark, d))
-    rows = topk.id_lists(reference, _pairs(spark, d, k=3)).select("source1_entity_id", F.when(F.col("matched_entity_ids") == "", F.array().cast("array<string>")).otherwise(F.split("matched_entity_ids", ",")).alias("ids"))
+    rows = topk.id_lists(reference, _pairs(spark, d)).select("source1_entity_id", F.when(F.col("matched_entity_ids") == "", F.array().cast("array<string>")).otherwise(F.split("matched_entity_ids", ",")).alias("ids"))
     bad = [("S1-0", ["S2-1", "S2-1"]), ("S1-none", ["S1-0", "X9-1", "S2-none"])]
     rows = rows.unionByName(spark.createDataFrame(bad, "source1_entity_id string, ids array<string>"))
     return validate.issues(rows, reference, candidates)
@@ -258,7 +258,7 @@ def stratified_sample(spark, d):
 def projected_vectors(spark, d):
     texts = similarity.texts_of(_parts(spark, d), _text())
     _, postings = tfidf.fit_transform(texts, _chars(F.col("text")), CONFIG)
-    return dense.random_projection(postings, 16).select("country", "id", F.size("vector").alias("dimensions"))
+    return dense.random_projection(postings).select("country", "id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 QUERIES = {
@@ -381,6 +381,54 @@ ORACLE_SQL = {
     "linkage_job": _with(*_BASE, _best(30, 0.2))
     + """SELECT e.id AS source1_entity_id, coalesce(string_agg(candidate_entity_id, ',' ORDER BY rank), '') AS matched_entity_ids
 FROM ent e LEFT JOIN (SELECT * FROM top WHERE similarity_score >= 0.7) t ON t.source1_entity_id = e.id WHERE starts_with(e.id, 'S1-') GROUP BY e.id""",
+    "scored_lists": _with(*_BASE, _best(10, 0.1))
+    + "SELECT source1_entity_id, candidate_entity_id, CAST(round(CAST(similarity_score AS DECIMAL(10, 6)), 4) AS DOUBLE) AS similarity_score, rank FROM top",
+    "leg_union": f"""WITH chars AS ({_with(*_BASE, _best(10, 0.1))} SELECT * FROM top), words AS ({_with(_PART, _WORD_ROWS, _TWO, _fit(), _best(10, 0.1))} SELECT * FROM top),
+best AS (SELECT country, source1_entity_id, candidate_entity_id, max(similarity_score) AS similarity_score FROM (SELECT * FROM chars UNION ALL SELECT * FROM words) GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source1_entity_id ORDER BY similarity_score DESC, candidate_entity_id) AS INTEGER) AS rank FROM best) WHERE rank <= 10""",
+    "two_stage_topk": _with(
+        f"met AS ({_with(_PART, _WORD_ROWS, _TWO, _fit(), _best(60, 0.05))} SELECT country, source1_entity_id AS q, candidate_entity_id AS c FROM top)",
+        *_BASE,
+        """top_all AS (SELECT met.country, q AS source1_entity_id, c AS candidate_entity_id, round(sum(x.weight * y.weight), 6) AS similarity_score
+  FROM met JOIN unit x ON x.id = q JOIN unit y ON y.id = c AND y.gram = x.gram GROUP BY met.country, q, c),
+top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source1_entity_id ORDER BY similarity_score DESC, candidate_entity_id) AS INTEGER) AS rank
+  FROM top_all WHERE similarity_score >= 0.08) WHERE rank <= 30)""",
+    )
+    + _PAIR_COLUMNS,
+    "config_comparison": "WITH "
+    + ",\n".join(
+        f"""{name} AS ({_with(_PART, _char_grams(longest), _fit(), _best(5, 0.1), _TRUTH)} SELECT '{name}' AS config,
+  CAST((SELECT count(*) FROM truth t JOIN top p ON p.source1_entity_id = t.source1_entity_id AND p.candidate_entity_id = t.candidate_entity_id) AS DOUBLE) / (SELECT count(*) FROM truth) AS pc)"""
+        for name, longest in (("char34", 4), ("char35", 5))
+    )
+    + """
+SELECT config, round(pc, 9) AS pair_completeness, round(pc - max(pc) OVER (), 9) AS delta, pc - max(pc) OVER () >= -0.005 AS good_enough FROM (SELECT * FROM char34 UNION ALL SELECT * FROM char35)""",
+    "token_changes": _with(
+        _PART,
+        _TRUTH,
+        r"""tok AS (SELECT id, regexp_extract_all(lower(address), '[\p{L}\p{M}\p{N}_]+') AS t FROM ent),
+two AS (SELECT a.t AS t1, b.t AS t2, list_intersect(a.t, b.t) AS common FROM truth JOIN tok a ON a.id = source1_entity_id JOIN tok b ON b.id = candidate_entity_id),
+cut AS (SELECT *, list_filter(t1, lambda x: list_contains(common, x)) AS f1, list_filter(t2, lambda x: list_contains(common, x)) AS f2 FROM two)""",
+    )
+    + """SELECT count(*) AS pairs, round(avg(1 - len(common) / len(list_distinct(t1))), 9) AS omission1, round(avg(1 - len(common) / len(list_distinct(t2))), 9) AS omission2,
+  round(avg(CASE WHEN list_filter(f1, lambda x, i: i = 1 OR x <> f1[i - 1]) <> list_filter(f2, lambda x, i: i = 1 OR x <> f2[i - 1]) THEN 1.0 ELSE 0.0 END), 9) AS reorder_rate FROM cut""",
+    "validate_lists": _with(
+        *_BASE,
+        _best(30, 0.1),
+        """rows AS (SELECT e.id AS s, coalesce(list(candidate_entity_id ORDER BY rank) FILTER (candidate_entity_id IS NOT NULL), []) AS ids FROM ent e
+  LEFT JOIN top t ON t.source1_entity_id = e.id WHERE starts_with(e.id, 'S1-') GROUP BY e.id
+  UNION ALL SELECT 'S1-0', ['S2-1', 'S2-1'] UNION ALL SELECT 'S1-none', ['S1-0', 'X9-1', 'S2-none']),
+each AS (SELECT s, unnest(ids) AS id FROM rows),
+found AS (SELECT 'duplicate row' AS issue, s AS example FROM rows GROUP BY s HAVING count(*) > 1
+  UNION ALL SELECT 'duplicate id in a list', s FROM rows WHERE len(ids) <> len(list_distinct(ids))
+  UNION ALL SELECT 'self match', id FROM each WHERE starts_with(id, 'S1-')
+  UNION ALL SELECT 'bad prefix', id FROM each WHERE NOT regexp_matches(id, '^S[123]-')
+  UNION ALL SELECT 'missing id', id FROM ent WHERE starts_with(id, 'S1-') AND id NOT IN (SELECT s FROM rows)
+  UNION ALL SELECT 'unknown id', s FROM rows WHERE s NOT IN (SELECT id FROM ent WHERE starts_with(id, 'S1-'))
+  UNION ALL SELECT 'id not in the sources', id FROM each WHERE regexp_matches(id, '^S[23]-') AND id NOT IN (SELECT id FROM ent))""",
+    )
+    + """SELECT issue, n, examples FROM (SELECT issue, count(*) AS n FROM found GROUP BY issue) JOIN (SELECT issue, string_agg(example, ',' ORDER BY example) AS examples
+  FROM (SELECT issue, example, row_number() OVER (PARTITION BY issue ORDER BY example) AS k FROM (SELECT DISTINCT issue, example FROM found)) WHERE k <= 5 GROUP BY issue) USING (issue)""",
     "candidate_lists": _with(*_BASE, _best(30, 0.1))
     + """SELECT e.id AS source1_entity_id, coalesce(string_agg(candidate_entity_id, ',' ORDER BY rank), '') AS candidate_entity_ids
 FROM ent e LEFT JOIN top t ON t.source1_entity_id = e.id WHERE starts_with(e.id, 'S1-') GROUP BY e.id""",

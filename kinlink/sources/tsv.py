@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def read_table(spark: SparkSession, path: str, schema: StructType, null_words: t
     return rows.select(*(value(f) for f in schema.fields))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows of a file with their order in it, as the column row that lists and written files keep."""
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
 def read_entities(spark: SparkSession, path: str, country: str | None = None, limit: int | None = None, null_words: tuple[str, ...] = ()) -> DataFrame:
     """Entity records with the country stripped; of one country, or the first by id, if asked for."""
     rows = read_table(spark, path, ENTITY, null_words).withColumn("country", F.regexp_replace("country", r"^\s+|\s+$", ""))
@@ -59,8 +65,9 @@ def discover(roots: list[str], files: list[str]) -> str | None:
 
 def write_lists(rows: DataFrame, path: str, order: str | None = None) -> None:
     """Two or three text columns as a table with a header; empty lists stay empty. Written by Spark's committer, so that a
-    reader sees a complete folder or none; rows are range-sorted by `order` if given."""
-    rows = rows.orderBy(order) if order else rows
+    reader sees a complete folder or none; rows are range-sorted by `order` if given, or by a column row, which isn't written."""
+    order = "row" if "row" in rows.columns else order
+    rows = (rows.orderBy(order) if order else rows).drop("row")
     rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "").csv(path)
 
 
@@ -80,11 +87,37 @@ def read_partials(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has been written to its end. A storage error is raised, not taken for absence."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def checkpoint(pairs: DataFrame, path: str) -> DataFrame:
-    """The pairs, written once by country and read again; a finished folder is taken as it is."""
+    """The pairs, written once by country and read again. Each country has a folder of its own, and one that is finished is taken
+    as it is: a job that was stopped goes on with the countries that are left."""
     spark = pairs.sparkSession
-    try:
-        spark.read.text(f"{path}/_SUCCESS")
-    except Exception:  # absent, so not finished
-        pairs.write.mode("overwrite").partitionBy("country").parquet(path)
-    return spark.read.parquet(path)
+    for r in pairs.select("country").distinct().orderBy("country").collect():  # partitions of the job, a row each
+        name = "none" if r[0] is None else "is-" + quote(r[0], safe="")
+        if not finished(spark, f"{path}/{name}"):
+            pairs.where(F.col("country").eqNullSafe(F.lit(r[0]))).write.mode("overwrite").parquet(f"{path}/{name}")
+    names = [p for p in ("none", "is-*") if _any(spark, f"{path}/{p}")]
+    return spark.read.parquet(*(f"{path}/{p}" for p in names)) if names else spark.createDataFrame([], pairs.schema)
+
+
+def _any(spark: SparkSession, pattern: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def write_vectors(vectors: DataFrame, path: str, key: str) -> DataFrame:
+    """The vectors (country, id, vector), written once under a key that names how they were made, and read again."""
+    if not finished(vectors.sparkSession, f"{path}/{quote(key, safe='')}"):
+        vectors.write.mode("overwrite").parquet(f"{path}/{quote(key, safe='')}")
+    return read_vectors(vectors.sparkSession, path, key)
+
+
+def read_vectors(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """Vectors that were written under the key, or None."""
+    folder = f"{path}/{quote(key, safe='')}"
+    return spark.read.parquet(folder) if finished(spark, folder) else None
