@@ -91,11 +91,15 @@ def suffixes(docs: DataFrame) -> DataFrame:
     def run(batches):
         hasher = Hasher()
         for batch in batches:
+            prefixes, parts = [], []  # of a batch: few large batches go out
             for key, more, text in zip(batch.column("text_key").to_pylist(), batch.column("text_more").to_pylist(), _texts(batch), strict=True):
                 found = words(text)
                 if len(found) >= LENGTH:
                     at = np.unique(selected(found, hasher))
-                    yield record_batch(schema, [list(Runs(found).of(at, PREFIX)), np.full(len(at), key), np.full(len(at), more), at])
+                    prefixes += Runs(found).of(at, PREFIX)
+                    parts.append((np.full(len(at), key), np.full(len(at), more), at))
+            if parts:
+                yield record_batch(schema, [prefixes, *(np.concatenate(c) for c in zip(*parts, strict=True))])
 
     return docs.select("text", "text_key", "text_more").mapInArrow(run, "prefix binary, text_key long, text_more long, at long")
 
@@ -109,12 +113,15 @@ def windows(docs: DataFrame) -> DataFrame:
         hasher = Hasher()
         for batch in batches:
             rest = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text_more", "places")), strict=True)
+            parts = []
             for text, (doc, key, more, places) in zip(_texts(batch), rest, strict=True):
                 found = words(text)
                 at = np.flatnonzero(np.isin(selected(found, hasher), places))
                 if len(at):
                     digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, Runs(found).of(at, LENGTH))), dtype=np.int64).reshape(-1, 2)
-                    yield record_batch(schema, [digest[:, 0], digest[:, 1], *(np.full(len(at), x) for x in (doc, key, more)), at])
+                    parts.append((digest[:, 0], digest[:, 1], *(np.full(len(at), x) for x in (doc, key, more)), at))
+            if parts:
+                yield record_batch(schema, [np.concatenate(c) for c in zip(*parts, strict=True)])
 
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in _WINDOW))
 
