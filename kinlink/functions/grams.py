@@ -38,4 +38,4 @@ def word_ngrams(text: Column, shortest: int = 1, longest: int = 2) -> Column:
         none = F.array().cast("array<string>")
         return F.concat(*(words if n == 1 else F.when(F.size(words) >= n, runs(n)).otherwise(none) for n in range(shortest, longest + 1)))
 
-    return bind(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), of)
+    return bind(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w\w+"), F.lit(0)), of)

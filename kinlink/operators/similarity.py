@@ -1,36 +1,138 @@
-"""Similarity joins over unit postings, within a partition key."""
+"""Similarity joins over unit vectors of TF-IDF weights, within a country."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tfidf import TfIdf, fit_transform
+from .tfidf import TfIdf, fit_transform, vectors_of
 from .topk import PLACES, merge, top_k
 
+#: Candidates and postings of one block of a country's candidates, and queries of one part of its queries, at most on average.
+BLOCK, BLOCK_POSTINGS, PART = 8192, 1 << 21, 1 << 16
+#: Scores held at a time, and products added to them at a time.
+_SCORES, _PRODUCTS = 1 << 20, 1 << 21
+_FOUND = pa.schema([("country", pa.string()), ("source1_entity_id", pa.string()), ("candidate_entity_id", pa.string()), ("similarity_score", pa.float64())])
+
 
 def sparse_pairs(queries: DataFrame, candidates: DataFrame, floor: float, keys: tuple[str, ...] = ("country",)) -> DataFrame:
-    """Cosine of every query and candidate that share a gram, if over the floor. Both are postings (keys, id, gram, weight);
-    frequent grams, which decide the size of this join, have to be cut from the vocabulary before."""
+    """Cosine of every query and candidate that share a gram, if over the floor, for a few queries against an index of
+    postings (keys, id, gram, weight). Every shared gram makes a row; block_top_k() is for many queries."""
     q = queries.select(*keys, F.col("id").alias("source1_entity_id"), "gram", F.col("weight").alias("wq"))
     c = candidates.select(*keys, F.col("id").alias("candidate_entity_id"), "gram", F.col("weight").alias("wc"))
     score = F.round(F.sum(F.col("wq") * F.col("wc")), PLACES).alias("similarity_score")
     return q.join(c, [*keys, "gram"]).groupBy(*keys, "source1_entity_id", "candidate_entity_id").agg(score).where(F.col("similarity_score") > floor)
 
 
+class Block:
+    """The postings of some candidates by gram. The candidates' names are in rising order."""
+
+    def __init__(self, names: list[str], sizes: np.ndarray, grams: np.ndarray, weights: np.ndarray):
+        order = np.argsort(grams, kind="stable")
+        self.names, self.n = names, len(names)
+        self.row, self.weight = np.repeat(np.arange(self.n), sizes)[order], weights[order]
+        self.gram, self.start = np.unique(grams[order], return_index=True)
+        self.end = np.append(self.start[1:], len(grams))
+
+    def scores(self, sizes: np.ndarray, grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The inner products of queries, of as many postings as sizes says, with all candidates."""
+        out = np.zeros(len(sizes) * self.n)
+        at = np.minimum(np.searchsorted(self.gram, grams), max(len(self.gram) - 1, 0))
+        known = self.gram[at] == grams if len(self.gram) else np.zeros(len(grams), dtype=bool)
+        query, at, weight = np.repeat(np.arange(len(sizes)), sizes)[known], at[known], weights[known]
+        start, count = self.start[at], (self.end - self.start)[at]
+        sums = np.cumsum(count)
+        cuts = [0, *np.searchsorted(sums, np.arange(_PRODUCTS, sums[-1], _PRODUCTS)).tolist(), len(at)] if len(at) else []
+        for a, b in zip(cuts, cuts[1:]):
+            n = count[a:b]
+            place = np.arange(n.sum()) + np.repeat(start[a:b] - (np.cumsum(n) - n), n)
+            out += np.bincount(np.repeat(query[a:b] * self.n, n) + self.row[place], np.repeat(weight[a:b], n) * self.weight[place], len(out))
+        return out.reshape(len(sizes), self.n)
+
+    def best(self, names: list[str], sizes: np.ndarray, grams: np.ndarray, weights: np.ndarray, k: int, floor: float):
+        """(query, candidate, score) of the k best over the floor of each query; of equal scores the first names."""
+        step, ends = max(1, _SCORES // max(self.n, 1)), np.concatenate([[0], np.cumsum(sizes)])
+        for q in range(0, len(names), step):
+            a, b = ends[q], ends[min(q + step, len(names))]
+            raw = self.scores(sizes[q : q + step], grams[a:b], weights[a:b])
+            rounded = np.floor(raw * 10**PLACES + 0.5) / 10**PLACES
+            over = (rounded > floor) & (raw > 0)
+            for i in np.flatnonzero(over.any(axis=1)):
+                c = np.flatnonzero(over[i])
+                c = c[np.argsort(-rounded[i, c], kind="stable")[:k]]
+                yield from ((names[q + i], self.names[j], x) for j, x in zip(c.tolist(), rounded[i, c].tolist(), strict=True))
+
+
+def _entries(held: list[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Names, numbers of postings, grams and weights of rows with a name and a vector."""
+    vectors = pa.chunked_array([b.column("vector") for b in held]).combine_chunks()
+    flat = vectors.flatten()
+    sizes = np.diff(vectors.offsets.to_numpy())
+    return [x for b in held for x in b.column("id").to_pylist()], sizes, flat.field("gram").to_numpy(), flat.field("weight").to_numpy()
+
+
+def _tile_top(k: int, floor: float):
+    """The k best of each query and tile, of rows sorted by country, tile, kind and id: candidates before queries."""
+
+    def run(batches):
+        key, held, block = None, [], None
+        for batch in batches:
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("country", "block", "part", "kind")), strict=True))
+            starts = [i for i in range(len(marks)) if not i or marks[i] != marks[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(marks)], strict=True):
+                if marks[a][:3] != key:
+                    key, held, block = marks[a][:3], [], None
+                some = batch.slice(a, b - a)
+                if marks[a][3] == 0:
+                    held.append(some)
+                    continue
+                if block is None and held:
+                    block, held = Block(*_entries(held)), []
+                found = list(block.best(*_entries([some]), k, floor)) if block else []
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found)), *map(pa.array, zip(*found, strict=True))], schema=_FOUND)
+
+    return run
+
+
+def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, floor: float) -> DataFrame:
+    """The k candidates of the same country with the largest cosine over the floor, of unit vectors (country, id, vector) as
+    tfidf.vectors_of gives them. A country's candidates are dealt to blocks and its queries to parts; a task multiplies the
+    queries of a part with one block's postings and keeps the k best, so that no row is made for a shared gram or a pair."""
+    sizes = candidates.groupBy("country").agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("m"))
+    sizes = sizes.select("country", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_POSTINGS)).cast("int").alias("blocks"))
+    sizes = sizes.join(queries.groupBy("country").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "country")
+
+    def dealt(rows: DataFrame, kind: int, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.col(f"{own}s")).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other)
+        return rows.join(sizes, "country").select("country", "id", "vector", F.lit(kind).alias("kind"), mine, every)
+
+    rows = dealt(candidates, 0, "block", "part").unionByName(dealt(queries, 1, "part", "block"))
+    rows = rows.repartition("country", "block", "part").sortWithinPartitions("country", "block", "part", "kind", "id")
+    found = rows.select("country", "block", "part", "kind", "id", "vector").mapInArrow(
+        _tile_top(k, floor), "country string, source1_entity_id string, candidate_entity_id string, similarity_score double"
+    )
+    return top_k(found, k)
+
+
 def texts_of(entities: DataFrame, text: Column) -> DataFrame:
     return entities.select("country", F.col("entity_id").alias("id"), text.alias("text"))
 
 
+def _of(vectors: DataFrame, entities: DataFrame) -> DataFrame:
+    return vectors.join(entities.select(F.col("entity_id").alias("id")), "id", "left_semi")
+
+
 def sparse_top_k(reference: DataFrame, candidates: DataFrame, text: Column, grams, config: TfIdf = TfIdf(), k: int = 30, floor: float = 0.1, fit_on: Column | None = None) -> DataFrame:
     """The k most similar candidates of the same country for each reference record. grams maps the column text to an array;
     fit_on chooses, by the column id, the records that the vocabulary is fitted on."""
     everything = texts_of(reference.unionByName(candidates), text)
     _, postings = fit_transform(everything, grams(F.col("text")), config, fit_on)
-    postings = postings.persist()
-    asked = postings.join(reference.select(F.col("entity_id").alias("id")), "id", "left_semi")
-    found = postings.join(candidates.select(F.col("entity_id").alias("id")), "id", "left_semi")
-    return top_k(sparse_pairs(asked, found, floor), k)
+    vectors = vectors_of(postings).persist()
+    return block_top_k(_of(vectors, reference), _of(vectors, candidates), k, floor)
 
 
 def two_pass_top_k(reference: DataFrame, sources: list[DataFrame], text: Column, grams, config: TfIdf = TfIdf(), k: int = 30, floor: float = 0.2, fit_on: Column | None = None) -> DataFrame:
@@ -39,10 +141,8 @@ def two_pass_top_k(reference: DataFrame, sources: list[DataFrame], text: Column,
     for s in sources:
         every = every.unionByName(s)
     _, postings = fit_transform(texts_of(every, text), grams(F.col("text")), config, fit_on)
-    postings = postings.persist()
-    asked = postings.join(reference.select(F.col("entity_id").alias("id")), "id", "left_semi")
-    legs = [top_k(sparse_pairs(asked, postings.join(s.select(F.col("entity_id").alias("id")), "id", "left_semi"), floor), k) for s in sources]
-    return merge(legs, k)
+    vectors = vectors_of(postings).persist()
+    return merge([block_top_k(_of(vectors, reference), _of(vectors, s), k, floor) for s in sources], k)
 
 
 def two_stage_top_k(

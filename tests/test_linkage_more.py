@@ -1,10 +1,15 @@
+import random
 import shutil
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from kinlink.functions.grams import word_ngrams
 from kinlink.functions.text import romanised_word
-from kinlink.operators import dense, profile, topk, validate
+from kinlink.operators import dense, profile, similarity, topk, validate
+from kinlink.operators.tfidf import TfIdf, fit_transform
+from kinlink.schema import split_roles
 from kinlink.sources import tsv
 
 PAIRS = "country string, source1_entity_id string, candidate_entity_id string, similarity_score double, rank int"
@@ -77,3 +82,47 @@ def test_sample_of_true_pairs(spark):
     truth = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(9)], "source1_entity_id string, candidate_entity_id string")
     rows = profile.sample_pairs(entities, truth, 4).collect()
     assert len(rows) == 4 and all((r.name1, r.address2) == (f"n1{r.source1_entity_id[3:]}", f"a2{r.source1_entity_id[3:]}") for r in rows)
+
+
+def test_blocked_search_equals_all_pairs(spark, monkeypatch):
+    # Small blocks, parts and chunks; many equal texts, so that ties decide; records without a gram; a country without queries.
+    r = random.Random(3)
+    texts = [" ".join(r.choice(("ab", "cd", "ef", "gh", "ij", "kl")) for _ in range(r.randrange(5))) for _ in range(150)]
+    rows = [(f"{'S1' if i % 4 == 0 and i < 120 else 'S2'}-{i}", t, "", "XY"[i % 3 == 0] if i < 120 else "Z") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string")
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    monkeypatch.setattr(similarity, "PART", 5)
+    reference, candidates = split_roles(docs)
+    everything = similarity.texts_of(docs, F.col("business_name"))
+    _, postings = fit_transform(everything, word_ngrams(F.col("text"), 1, 2), TfIdf(min_df=1))
+    weights = {}
+    for p in postings.collect():
+        weights.setdefault((p.country, p.id), {})[p.gram] = p.weight
+    want = []
+    for (country, a), x in weights.items():
+        near = [(-round(sum(w * y.get(g, 0) for g, w in x.items()), 6), b) for (other, b), y in weights.items() if other == country and b.startswith("S2")]
+        if a.startswith("S1"):
+            want += [(a, b, -s, n + 1) for n, (s, b) in enumerate(sorted(p for p in near if -p[0] > 0.2)[:4])]
+    got = similarity.sparse_top_k(reference, candidates, F.col("business_name"), lambda c: word_ngrams(c, 1, 2), TfIdf(min_df=1), 4, 0.2)
+    assert want and sorted((p.source1_entity_id, p.candidate_entity_id, p.similarity_score, p["rank"]) for p in got.collect()) == sorted(want)
+    assert similarity.sparse_top_k(reference, candidates.limit(0), F.col("business_name"), lambda c: word_ngrams(c, 1, 2), TfIdf(min_df=1), 4, 0.2).count() == 0
+
+
+def test_block_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    dense_rows = rng.integers(0, 3, (40, 30)) * (rng.random((40, 30)) < 0.3) / 7.0
+
+    def entries(rows):
+        at = [np.flatnonzero(x) for x in rows]
+        return [f"{i:02d}" for i in range(len(rows))], np.array([len(a) for a in at]), np.concatenate(at), np.concatenate([x[a] for x, a in zip(rows, at, strict=True)])
+
+    block = similarity.Block(*entries(dense_rows[:25]))
+    whole = list(block.best(*entries(dense_rows[25:]), 5, 0.01))
+    want = []
+    for i, row in enumerate((dense_rows[25:] @ dense_rows[:25].T).tolist()):
+        near = sorted((-round(s, 6), j) for j, s in enumerate(row))[:5]
+        want += [(f"{i:02d}", f"{j:02d}", -s) for s, j in near if -s > 0.01]
+    assert [(q, c) for q, c, _ in whole] == [(q, c) for q, c, _ in want] and np.allclose([s for *_, s in whole], [s for *_, s in want], atol=2e-6)
+    monkeypatch.setattr(similarity, "_SCORES", 60)
+    monkeypatch.setattr(similarity, "_PRODUCTS", 9)
+    assert list(block.best(*entries(dense_rows[25:]), 5, 0.01)) == whole
