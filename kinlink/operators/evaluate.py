@@ -75,6 +75,27 @@ def macro(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def list_metrics(scores: DataFrame) -> DataFrame:
+    """One row of all measures of a result: means, pair completeness (1 without true links), counts, singletons left alone and
+    wrongly merged, and the sums behind the means, so that parts of a job add up."""
+    single, merged = F.col("n_true") == 0, F.col("n_pred") > 0
+    sums = {"precision": "sum_precision", "recall": "sum_recall", "f_beta": "sum_f"}
+    row = scores.agg(
+        F.count("*").alias("entities"),
+        *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("n_true", "true_links"), ("n_hit", "hits"))),
+        F.count_if(single).alias("singletons"),
+        F.count_if(single & ~merged).alias("singletons_empty"),
+        F.count_if(single & merged).alias("singletons_merged"),
+        *(F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for c, n in sums.items()),
+    )
+    most = F.greatest("entities", F.lit(1))
+    return row.select(
+        "*",
+        *((F.col(f"sum_{c}") / most).alias(f"macro_{c}") for c in ("precision", "recall", "f")),
+        F.when(F.col("true_links") > 0, F.col("hits") / F.col("true_links")).otherwise(1.0).alias("pair_completeness"),
+    )
+
+
 def macro_by_country(scores: DataFrame) -> DataFrame:
     """The macro means of each country and, with a null country, of all."""
     single = F.col("n_true") == 0

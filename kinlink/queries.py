@@ -140,6 +140,12 @@ def metrics_by_country(spark, d):
     return _rounded(evaluate.macro_by_country(evaluate.entity_scores(_ids(spark, d), _truth(spark, d), accepted)))
 
 
+def list_metrics(spark, d):
+    """All measures of the scored lists as a reader of the written text sees them, four decimals a score."""
+    pairs = topk.parse_scored_lists(topk.scored_lists(_pairs(spark, d))).where("rank <= 30 AND similarity_score >= 0.7")
+    return _rounded(evaluate.list_metrics(evaluate.entity_scores(_ids(spark, d), _truth(spark, d), pairs)))
+
+
 def reduction_ratio(spark, d):
     reference, candidates = split_roles(_parts(spark, d))
     return _rounded(evaluate.reduction_ratio(_pairs(spark, d), reference, candidates))
@@ -266,7 +272,7 @@ QUERIES = {
     for f in (
         entity_view, vocab_pruned, word_vocabulary, unit_vectors, sparse_topk_pooled, sparse_topk_s2fit, sparse_topk_documents,
         two_pass_merge, linkage_job, candidate_lists, scored_lists, pair_completeness_k, macro_f05_tau, macro_f05_k, best_tau,
-        metrics_by_country, reduction_ratio, config_comparison, norm_legal_ascii, norm_universal_text, blocking_keys, block_profile,
+        metrics_by_country, list_metrics, reduction_ratio, config_comparison, norm_legal_ascii, norm_universal_text, blocking_keys, block_profile,
         key_retention, disjunctive_retention, subpartition_topk, disjunctive_topk, two_stage_topk, dense_topk, dense_cells_topk,
         leg_union, validate_lists, country_pivot, script_profile, match_cardinality, token_changes, score_histogram,
         stratified_sample, projected_vectors,
@@ -443,6 +449,12 @@ FROM ent e LEFT JOIN top t ON t.source1_entity_id = e.id WHERE starts_with(e.id,
     + """SELECT country, count(*) AS entities, round(avg(p), 9) AS macro_precision, round(avg(r), 9) AS macro_recall, round(avg(f), 9) AS macro_f,
   CAST(sum(CASE WHEN n_true = 0 THEN 1 ELSE 0 END) AS BIGINT) AS singletons FROM scored GROUP BY country
 UNION ALL SELECT NULL, count(*), round(avg(p), 9), round(avg(r), 9), round(avg(f), 9), CAST(sum(CASE WHEN n_true = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM scored""",
+    "list_metrics": _with(*_BASE, _best(30, 0.1), _TRUTH, _scores("CAST(0.7 AS DOUBLE)", "round(CAST(p.similarity_score AS DECIMAL(10, 6)), 4) >= g.tau AND p.rank <= 30", "tau"))
+    + """SELECT count(*) AS entities, CAST(sum(n_true) AS BIGINT) AS true_links, CAST(sum(n_hit) AS BIGINT) AS hits, count(*) FILTER (n_true = 0) AS singletons,
+  count(*) FILTER (n_true = 0 AND n_pred = 0) AS singletons_empty, count(*) FILTER (n_true = 0 AND n_pred > 0) AS singletons_merged,
+  round(sum(p), 9) AS sum_precision, round(sum(r), 9) AS sum_recall, round(sum(f), 9) AS sum_f,
+  round(avg(p), 9) AS macro_precision, round(avg(r), 9) AS macro_recall, round(avg(f), 9) AS macro_f,
+  CASE WHEN sum(n_true) > 0 THEN round(CAST(sum(n_hit) AS DOUBLE) / sum(n_true), 9) ELSE 1.0 END AS pair_completeness FROM scored""",
     "word_vocabulary": _with(_DOC, _WORD_ROWS, _TWO, _fit(2, 0.05)) + "SELECT country, gram, df, cf, round(idf, 6) AS idf FROM voc",
     "sparse_topk_documents": _with(_DOC, _WORD_ROWS, _TWO, _fit(2, 0.05), _best(10, 0.05)) + _PAIR_COLUMNS,
     "subpartition_topk": _with(*_BASE, _SIG, _met("[one]", 10, 0.1)) + _PAIR_COLUMNS,

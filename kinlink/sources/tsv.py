@@ -110,6 +110,16 @@ def _any(spark: SparkSession, pattern: str) -> bool:
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))
 
 
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A written file or folder at a second place, for a validator that looks there; nothing happens if both are the same."""
+    files, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    here, there = (files.Path(p).getFileSystem(conf).makeQualified(files.Path(p)) for p in (source, target))
+    if here.equals(there):
+        return
+    there.getFileSystem(conf).delete(there, True)
+    files.FileUtil.copy(here.getFileSystem(conf), here, there.getFileSystem(conf), there, False, conf)
+
+
 def write_vectors(vectors: DataFrame, path: str, key: str) -> DataFrame:
     """The vectors (country, id, vector), written once under a key that names how they were made, and read again."""
     if not finished(vectors.sparkSession, f"{path}/{quote(key, safe='')}"):

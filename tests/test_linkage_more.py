@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions.grams import word_ngrams
 from kinlink.functions.text import romanised_word
-from kinlink.operators import dense, profile, similarity, topk, validate
+from kinlink.operators import dense, evaluate, profile, similarity, sizing, topk, validate
 from kinlink.operators.tfidf import TfIdf, fit_transform
 from kinlink.schema import split_roles
 from kinlink.sources import tsv
@@ -126,3 +126,33 @@ def test_block_in_pieces(monkeypatch):
     monkeypatch.setattr(similarity, "_SCORES", 60)
     monkeypatch.setattr(similarity, "_PRODUCTS", 9)
     assert list(block.best(*entries(dense_rows[25:]), 5, 0.01)) == whole
+
+
+def test_list_metrics(spark):
+    ids = spark.createDataFrame([(f"S1-{i}",) for i in range(5)], "source1_entity_id string")
+    pair = "source1_entity_id string, candidate_entity_id string"
+    truth = spark.createDataFrame([("S1-0", "S2-0"), ("S1-0", "S2-1"), ("S1-1", "S2-2")], pair)
+    pairs = spark.createDataFrame([("S1-0", "S2-0"), ("S1-0", "S2-9"), ("S1-2", "S2-3")], pair)
+    row = evaluate.list_metrics(evaluate.entity_scores(ids, truth, pairs)).first()
+    # Precision and recall: 1/2 and 1/2; nothing predicted; wrongly merged; two singletons left alone.
+    assert (row.entities, row.true_links, row.hits, row.singletons, row.singletons_empty, row.singletons_merged) == (5, 3, 1, 3, 2, 1)
+    assert (row.sum_precision, row.sum_recall, row.sum_f) == (2.5, 2.5, 2.5) and row.macro_f == 0.5 and row.pair_completeness == pytest.approx(1 / 3)
+    row = evaluate.list_metrics(evaluate.entity_scores(ids.limit(0), truth.limit(0), pairs.limit(0))).first()
+    assert (row.entities, row.macro_f, row.true_links, row.pair_completeness) == (0, 0, 0, 1)
+
+
+def test_copies_of_results(spark, tmp_path):
+    rows = spark.createDataFrame([("S1-1", "S2-1")], "source1_entity_id string, matched_entity_ids string")
+    tsv.write_lists(rows, f"{tmp_path}/out")
+    for _ in range(2):  # a second copy takes the place of the first
+        tsv.copy(spark, f"{tmp_path}/out", f"{tmp_path}/else/where")
+    tsv.copy(spark, f"{tmp_path}/out", f"file:{tmp_path}/out")
+    for p in ("out", "else/where"):
+        assert tsv.read_lists(spark, f"{tmp_path}/{p}", ("source1_entity_id", "matched_entity_ids")).collect() == rows.collect()
+
+
+def test_sizes_of_an_index():
+    assert sizing.index_mb(1 << 20, 128) == 512 + 450
+    assert sizing.shard_count(10, 8, 1 << 30, 4) == 1
+    # 2 * ceil(4e6 / n) - 500,000 vectors of 256 bytes in 0.8 GB: 3.5e6 of them at two holders are 0.9 GB, 2.2e6 at three 0.55.
+    assert [sizing.shard_count(4_000_000, 128, 8 * 10**8, most) for most in (2, 3, 8)] == [2, 3, 3]
