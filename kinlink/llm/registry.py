@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, neighbours, packing, passages, quality, simhash, token_counts, toxicity
+from . import chat, collocations, decontamination, licenses, neighbours, packing, passages, quality, secret_scan, simhash, spelling, token_counts, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_repeated_passages": passages.op8_repeated_passages,
     "op9_quality": quality.op9_quality,
     "op10_pack_sequences": packing.op10_pack_sequences,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.OP3_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op8_repeated_passages": passages.OP8_SQL,
+    "op11_spelling": spelling.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
