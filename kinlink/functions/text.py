@@ -4,38 +4,20 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .scripts import folded, romanised, romanised_word  # noqa: F401
+
 # Legal forms that the legal-name normaliser drops.
 LEGAL_FORMS = (
     "pvt", "private", "ltd", "limited", "inc", "incorporated", "corp", "corporation", "llc", "llp", "co", "company",
     "sarl", "sas", "sa", "sci", "eurl", "snc",
 )
 _LEGAL = r"(?i)\b(" + "|".join(LEGAL_FORMS) + r")\b"
-# Letters that decomposition leaves as they are.
-_LIGATURES = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L"}
-
-# Latin spellings of letters whose Unicode names don't tell them.
-_CYRILLIC = dict(zip(
-    "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґў",
-    "a b v g d e yo zh z i y k l m n o p r s t u f kh ts ch sh shch - y - e yu ya i yi ye g u".split(), strict=True,
-))
-_GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d e z i th i k l m n x o p r s s t y f ch ps o".split(), strict=True))
-_ARABIC = dict(zip("ابتثجحخدذرزسشصضطظعغفقكلمنهويةىءأإآؤئپچژگ", "a b t th j h kh d dh r z s sh s d t z a gh f q k l m n h w y h a - a i a w y p ch zh g".split(), strict=True))
-_SPELT = {letter: "" if plain == "-" else plain for table in (_CYRILLIC, _GREEK, _ARABIC) for letter, plain in table.items()}
-
-
-def _spelt(ch: str) -> str | None:
-    """A letter of an alphabet with a table, its accents dropped; a capital gives a capital."""
-    for low in (ch.lower(), unicodedata.normalize("NFD", ch.lower())[0]):
-        if (plain := _SPELT.get(low)) is not None:
-            return plain.capitalize() if ch != ch.lower() else plain
-    return None
 
 
 def is_ascii(text: Column) -> Column:
@@ -59,57 +41,29 @@ def drop_punctuation(text: Column) -> Column:
     return F.regexp_replace(text, r"[^a-z0-9\s]", " ")
 
 
-@lru_cache(maxsize=1 << 17)
-def romanised_word(word: str) -> str:
-    """Latin spelling of a word by the Unicode names of its letters: an Indic consonant carries an inherent a that a vowel sign
-    replaces and a virama drops, kana and Hangul syllables are named by their sound; Cyrillic, Greek and Arabic letters go by
-    tables; other letters lose their marks. Han characters, whose readings no rule gives, stay."""
-    out: list[str] = []
-    for ch in word:
-        if ch.isascii():
-            out.append(ch)
-            continue
-        if (plain := _spelt(ch)) is not None:
-            out.append(plain)
-            continue
-        name = unicodedata.name(ch, "")
-        script, _, rest = name.partition(" ")
-        if rest.startswith("VOWEL SIGN ") or rest.startswith("SIGN VIRAMA"):
-            if out and out[-1].endswith("a"):
-                out[-1] = out[-1][:-1]
-            if rest.startswith("VOWEL"):
-                out.append(rest.removeprefix("VOWEL SIGN ").split()[-1].lower())
-        elif script == "HANGUL" and rest.startswith("SYLLABLE "):
-            out.append(rest.removeprefix("SYLLABLE ").lower())
-        elif rest.startswith("LETTER ") and script not in ("LATIN", "GREEK", "CYRILLIC"):
-            out.append(rest.split()[-1].lower())
-        elif (digit := unicodedata.digit(ch, None)) is not None:
-            out.append(str(digit))
-        else:
-            plain = unicodedata.normalize("NFKD", _LIGATURES.get(ch, ch))
-            out.append("".join(c for c in plain if not unicodedata.combining(c)))
-    return "".join(out)
-
-
-def _romanised(text: str) -> str:
-    return " ".join(w if w.isascii() else romanised_word(w) for w in text.split())
+def _unless_ascii(change, text: Column) -> Column:
+    """ASCII texts as they are, others changed in Python; only those go there."""
+    return F.when(is_ascii(text), text).otherwise(change(F.when(~is_ascii(text), text)))
 
 
 @F.pandas_udf(StringType())
 def _romanise(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else _romanised(t))
+    return texts.map(romanised, na_action="ignore")
 
 
 def romanise(text: Column) -> Column:
-    """ASCII texts stay as they are; of others every word that is not ASCII is spelt in Latin letters, words joined by a blank.
-    The worker keeps the words it has seen."""
-    return _romanise(text)
+    """ASCII texts stay as they are; of others every word that is not ASCII is spelt in Latin letters, words joined by a blank."""
+    return _unless_ascii(_romanise, text)
 
 
 @F.pandas_udf(StringType())
-def fold_accents(texts: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks."""
-    return texts.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+def _fold(texts: pd.Series) -> pd.Series:
+    return texts.map(folded, na_action="ignore")
+
+
+def fold(text: Column) -> Column:
+    """Every character in ASCII by a table of code points; what has no entry there stays."""
+    return _unless_ascii(_fold, text)
 
 
 @F.pandas_udf(StringType())
@@ -154,8 +108,9 @@ def norm_universal(name: Column, address: Column) -> Column:
 
 
 def norm_legal(name: Column, address: Column, romanised: bool = False) -> Column:
+    """By code points, or romanised by words; a letter that has no rule in a word is folded by itself."""
     text = strip(joined(name, address))
-    text = F.lower(romanise(text) if romanised else fold_accents(text))
+    text = F.lower(romanise(text) if romanised else fold(text))
     return collapse(drop_punctuation(drop_legal_forms(text)))
 
 

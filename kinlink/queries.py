@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import keys as K
 from .functions.grams import char_wb, word_ngrams
+from .functions.scripts import fold_table, latin_table
 from .functions.text import norm_legal, norm_library, norm_production, norm_universal
 from .operators import dense, evaluate, profile, similarity, tfidf, topk, validate
 from .operators.tfidf import TfIdf
@@ -279,6 +280,20 @@ QUERIES = {
     )
 }
 
+
+
+def _spelt(table: dict[str, str]) -> str:
+    """Documents as entities with their text (t) spelt by a table of characters, as a join."""
+    rows = ", ".join("('{}', '{}')".format(c, plain.replace("'", "''")) for c, plain in table.items())
+    return rf"""WITH letters(c, plain) AS (VALUES {rows}),
+src AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\n', ' ')) AS t FROM documents),
+chars AS (SELECT doc_id, unnest(x) AS c, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '(?s).') AS x FROM src)),
+told AS (SELECT doc_id, string_agg(coalesce(plain, chars.c), '' ORDER BY i) AS t FROM chars LEFT JOIN letters ON letters.c = chars.c GROUP BY doc_id),
+spelt AS (SELECT (CASE WHEN src.doc_id % 10 = 0 THEN 'S1-' WHEN src.doc_id % 2 = 1 THEN 'S2-' ELSE 'S3-' END) || CAST(src.doc_id AS VARCHAR) AS entity_id,
+  coalesce(told.t, '') AS t FROM src LEFT JOIN told ON told.doc_id = src.doc_id)
+"""
+
+
 # SQL. Common tables first: entities, grams, a fitted vocabulary, unit postings, pairs.
 _PART = """ent AS (
   SELECT (CASE WHEN p_partkey % 10 = 0 THEN 'S1-' WHEN p_partkey % 2 = 1 THEN 'S2-' ELSE 'S3-' END) || CAST(p_partkey AS VARCHAR) AS id,
@@ -477,8 +492,9 @@ s AS (SELECT q.id AS source1_entity_id, c.id AS candidate_entity_id, round(list_
   WHERE starts_with(q.id, 'S1-') AND NOT starts_with(c.id, 'S1-'))
 SELECT 'all' AS country, source1_entity_id, candidate_entity_id, similarity_score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source1_entity_id
   ORDER BY similarity_score DESC, candidate_entity_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10""",
-    "norm_legal_ascii": r"""WITH e AS (SELECT doc_id, lower(strip_accents(trim(regexp_replace(text, '\n', ' ')))) AS t FROM documents)
-SELECT (CASE WHEN doc_id % 10 = 0 THEN 'S1-' WHEN doc_id % 2 = 1 THEN 'S2-' ELSE 'S3-' END) || CAST(doc_id AS VARCHAR) AS entity_id,
-  md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '\b(pvt|private|ltd|limited|inc|incorporated|corp|corporation|llc|llp|co|company|sarl|sas|sa|sci|eurl|snc)\b', ' ', 'g'),
-    '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM e""",
+    "norm_legal_ascii": _spelt(fold_table()) + r"""SELECT entity_id,
+  md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '\b(pvt|private|ltd|limited|inc|incorporated|corp|corporation|llc|llp|co|company|sarl|sas|sa|sci|eurl|snc)\b', ' ', 'g'),
+    '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM spelt""",
+    # For texts in Latin letters, which are spelt one by one.
+    "norm_universal_text": _spelt(latin_table()) + r"""SELECT entity_id, md5(trim(regexp_replace(regexp_replace(lower(t), '[''’`-]', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM spelt""",
 }
