@@ -38,8 +38,8 @@ BEST = 2000
 _BITS = np.uint64(48)
 #: Frequent hashes that are sent to the tasks at most: 32 MB.
 SENT = 1 << 22
-#: Words of a task that are counted together, and different words that it remembers.
-_HELD, _KNOWN = 1 << 22, 1 << 20
+#: Words of a task that are counted together in the first pass and in the second, and different words that it remembers.
+_HELD, _HELD_AGAIN, _KNOWN = 1 << 22, 1 << 20, 1 << 20
 #: Rows of a batch that goes back to Spark.
 _ROWS = 1 << 16
 #: Parts that the candidates of a language are ranked in first.
@@ -99,13 +99,13 @@ class Grams:
             yield n, starts, so_far
 
 
-def _texts(batches, grams: Grams) -> Iterator[None]:
+def _texts(batches, grams: Grams, held: int) -> Iterator[None]:
     """Fills grams from the rows (lang, text), and says when enough are held or all are read."""
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
             if text.is_valid:
                 grams.add(lang, text.as_buffer().to_pybytes())
-            if len(grams) >= _HELD:
+            if len(grams) >= held:
                 yield
                 grams.clear()
     if len(grams):
@@ -118,7 +118,7 @@ def gram_hashes(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
 
     def run(batches):
         grams = Grams(max_n)
-        for _ in _texts(batches, grams):
+        for _ in _texts(batches, grams, _HELD):
             for _, _, found in grams.hashed():
                 hashes, n = np.unique(found >> (np.uint64(64) - _BITS), return_counts=True)
                 for k in range(0, len(hashes), _ROWS):
@@ -144,7 +144,7 @@ def _kept_grams(docs: DataFrame, max_n: int, kept: np.ndarray | None) -> DataFra
             # A table of the high bits of the hashes sorts out most grams before the search.
             some = np.zeros(1 << 24, dtype=bool)
             some[kept >> (_BITS - np.uint64(24))] = True
-        for _ in _texts(batches, grams):
+        for _ in _texts(batches, grams, _HELD_AGAIN):
             spelled = None
             for n, starts, found in grams.hashed():
                 short = found >> shift

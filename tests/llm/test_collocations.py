@@ -47,6 +47,7 @@ def texts(seed):
 @pytest.mark.parametrize("held", [collocations._HELD, 100])
 def test_against_brute_force(spark, sent, held, monkeypatch):
     monkeypatch.setattr(collocations, "_HELD", held)
+    monkeypatch.setattr(collocations, "_HELD_AGAIN", held)
     monkeypatch.setattr(collocations, "_KNOWN", held)
     monkeypatch.setattr(collocations, "frequent_grams", lambda d, max_n, least, f=collocations.frequent_grams: f(d, max_n, least, sent))
     docs = texts(1)
