@@ -498,3 +498,5 @@ SELECT 'all' AS country, source1_entity_id, candidate_entity_id, similarity_scor
     # For texts in Latin letters, which are spelt one by one.
     "norm_universal_text": _spelt(latin_table()) + r"""SELECT entity_id, md5(trim(regexp_replace(regexp_replace(lower(t), '[''’`-]', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM spelt""",
 }
+# The bounds of the cells leave out nothing.
+ORACLE_SQL["dense_cells_topk"] = ORACLE_SQL["dense_topk"]
