@@ -7,14 +7,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tfidf import TfIdf, fit_transform, vectors_of
+from .tfidf import TfIdf, fit_vectors, sampled
 from .topk import PLACES, merge, top_k
 
-#: Candidates and postings of one block of a country's candidates, and queries of one part of its queries, at most on average.
-BLOCK, BLOCK_POSTINGS, PART = 8192, 1 << 21, 1 << 16
+#: Candidates and postings of one block of a country's candidates, queries of one part of its queries, and blocks that a task
+#: meets one after another, at most on average.
+BLOCK, BLOCK_POSTINGS, PART, LANE = 8192, 1 << 21, 1 << 16, 16
 #: Scores held at a time, and products added to them at a time.
 _SCORES, _PRODUCTS = 1 << 20, 1 << 21
+#: Scores are rounded, so a bound has to fall short by more than this.
+_SLACK = 10**-PLACES
 _FOUND = pa.schema([("country", pa.string()), ("source1_entity_id", pa.string()), ("candidate_entity_id", pa.string()), ("similarity_score", pa.float64())])
+_FOUND_DDL = "country string, source1_entity_id string, candidate_entity_id string, similarity_score double"
 
 
 def sparse_pairs(queries: DataFrame, candidates: DataFrame, floor: float, keys: tuple[str, ...] = ("country",)) -> DataFrame:
@@ -27,42 +31,126 @@ def sparse_pairs(queries: DataFrame, candidates: DataFrame, floor: float, keys:
 
 
 class Block:
-    """The postings of some candidates by gram. The candidates' names are in rising order."""
+    """The postings of some candidates by gram, with the largest weight of each gram. The candidates' names are in rising
+    order."""
 
     def __init__(self, names: list[str], sizes: np.ndarray, grams: np.ndarray, weights: np.ndarray):
-        order = np.argsort(grams, kind="stable")
-        self.names, self.n = names, len(names)
+        self.names, self.n = np.array(names, dtype=object), len(names)
+        self.gram, place = np.unique(grams, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        # By candidate, and by gram.
+        self.own_start, self.own_gram, self.own_weight = np.concatenate([[0], np.cumsum(sizes)]), place, weights
         self.row, self.weight = np.repeat(np.arange(self.n), sizes)[order], weights[order]
-        self.gram, self.start = np.unique(grams[order], return_index=True)
-        self.end = np.append(self.start[1:], len(grams))
-
-    def scores(self, sizes: np.ndarray, grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The inner products of queries, of as many postings as sizes says, with all candidates."""
-        out = np.zeros(len(sizes) * self.n)
-        at = np.minimum(np.searchsorted(self.gram, grams), max(len(self.gram) - 1, 0))
-        known = self.gram[at] == grams if len(self.gram) else np.zeros(len(grams), dtype=bool)
-        query, at, weight = np.repeat(np.arange(len(sizes)), sizes)[known], at[known], weights[known]
-        start, count = self.start[at], (self.end - self.start)[at]
-        sums = np.cumsum(count)
+        self.start = np.searchsorted(place[order], np.arange(len(self.gram) + 1))
+        self.most = np.maximum.reduceat(self.weight, self.start[:-1]) if len(self.gram) else np.zeros(0)
+        #: Postings that were read, and those that queries and candidates share.
+        self.read = self.shared = 0
+
+    def _postings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the postings of grams, and which gram each belongs to."""
+        n = self.start[at + 1] - self.start[at]
+        return np.arange(n.sum()) + np.repeat(self.start[at] - (np.cumsum(n) - n), n), np.repeat(np.arange(len(at)), n)
+
+    def _all(self, query: np.ndarray, at: np.ndarray, weight: np.ndarray, queries: int) -> np.ndarray:
+        """The inner products of queries with all candidates."""
+        out = np.zeros(queries * self.n)
+        sums = np.cumsum(self.start[at + 1] - self.start[at])
         cuts = [0, *np.searchsorted(sums, np.arange(_PRODUCTS, sums[-1], _PRODUCTS)).tolist(), len(at)] if len(at) else []
-        for a, b in zip(cuts, cuts[1:]):
-            n = count[a:b]
-            place = np.arange(n.sum()) + np.repeat(start[a:b] - (np.cumsum(n) - n), n)
-            out += np.bincount(np.repeat(query[a:b] * self.n, n) + self.row[place], np.repeat(weight[a:b], n) * self.weight[place], len(out))
-        return out.reshape(len(sizes), self.n)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            place, of = self._postings(at[a:b])
+            self.read += len(place)
+            out += np.bincount(query[a:b][of] * self.n + self.row[place], weight[a:b][of] * self.weight[place], len(out))
+        return out.reshape(queries, self.n)
+
+    def _some(self, query: np.ndarray, at: np.ndarray, weight: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The inner products of some queries and candidates, along the candidates' own postings."""
+        n = self.own_start[row + 1] - self.own_start[row]
+        own = np.arange(n.sum()) + np.repeat(self.own_start[row] - (np.cumsum(n) - n), n)
+        pair = np.repeat(np.arange(len(row)), n)
+        order = np.lexsort((at, query))
+        keys, asked = (query * len(self.gram) + at)[order], q[pair] * len(self.gram) + self.own_gram[own]
+        found = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        product = np.where(keys[found] == asked, weight[order][found] * self.own_weight[own], 0)
+        self.read += len(own)
+        return np.bincount(pair, product, len(row))
+
+    def hits(self, sizes: np.ndarray, grams: np.ndarray, weights: np.ndarray, k: int, floor: float, least: np.ndarray):
+        """(query, candidate, score), by place, of the k best over the floor of each query, which reach the query's least score;
+        of equal scores the first names. A gram adds its largest weight at most. Of a query's grams from rare to common, those
+        whose bounds together with all after them reach its least score lead: a candidate without any of these can't reach it, and
+        a query without any is passed over. The postings of leading grams are added up first; then candidates whose sum falls
+        short of the least score by more than the bounds of the other grams are left out, and those that stay are scored by
+        their own postings, or where that reads less, the other grams' postings are added up as well."""
+        step, ends = max(1, _SCORES // max(self.n, 1)), np.concatenate([[0], np.cumsum(sizes)])
+        for first in range(0, len(sizes) if self.n and len(self.gram) else 0, step):
+            a, b = ends[first], ends[min(first + step, len(sizes))]
+            queries = min(step, len(sizes) - first)
+            place = np.minimum(np.searchsorted(self.gram, grams[a:b]), len(self.gram) - 1)
+            known = self.gram[place] == grams[a:b]
+            query, at, weight = np.repeat(np.arange(queries), sizes[first : first + step])[known], place[known], weights[a:b][known]
+            count = self.start[at + 1] - self.start[at]
+            order = np.lexsort((count, query))
+            query, at, weight, count = query[order], at[order], weight[order], count[order]
+            bound = np.cumsum(weight * self.most[at])
+            every = np.bincount(query, weight * self.most[at], queries)
+            left = every[query] - (bound - weight * self.most[at] - (np.cumsum(every) - every)[query])
+            lead = left >= least[first + query] - 2 * _SLACK
+            full, led = np.bincount(query, count, queries), np.bincount(query, np.where(lead, count, 0), queries)
+            self.shared += int(full.sum())
+            raw = self._all(query[lead], at[lead], weight[lead], queries)
+            rest = every - np.bincount(query, np.where(lead, weight * self.most[at], 0), queries)
+            stay = (raw > 0) & (raw + rest[:, None] >= least[first : first + queries, None] - 2 * _SLACK)
+            some = stay.sum(axis=1) * (len(self.weight) / self.n) < full - led
+            parts = []
+            if (pick := ~some[query] & ~lead).any():
+                raw += self._all(query[pick], at[pick], weight[pick], queries)
+            q, row = np.nonzero(stay & ~some[:, None])
+            parts.append((q, row, raw[q, row]))
+            q, row = np.nonzero(stay & some[:, None])
+            if len(q):
+                pick = some[query]
+                parts.append((q, row, self._some(query[pick], at[pick], weight[pick], q, row)))
+            q, row, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+            score = np.floor(raw * 10**PLACES + 0.5) / 10**PLACES
+            over = (score > floor) & (raw > 0) & (score >= least[first + q])
+            q, row, score = q[over], row[over], score[over]
+            order = np.lexsort((row, -score, q))
+            q, row, score = q[order], row[order], score[order]
+            best = np.arange(len(q)) - np.searchsorted(q, q) < k
+            yield first + q[best], row[best], score[best]
+
 
     def best(self, names: list[str], sizes: np.ndarray, grams: np.ndarray, weights: np.ndarray, k: int, floor: float):
-        """(query, candidate, score) of the k best over the floor of each query; of equal scores the first names."""
-        step, ends = max(1, _SCORES // max(self.n, 1)), np.concatenate([[0], np.cumsum(sizes)])
-        for q in range(0, len(names), step):
-            a, b = ends[q], ends[min(q + step, len(names))]
-            raw = self.scores(sizes[q : q + step], grams[a:b], weights[a:b])
-            rounded = np.floor(raw * 10**PLACES + 0.5) / 10**PLACES
-            over = (rounded > floor) & (raw > 0)
-            for i in np.flatnonzero(over.any(axis=1)):
-                c = np.flatnonzero(over[i])
-                c = c[np.argsort(-rounded[i, c], kind="stable")[:k]]
-                yield from ((names[q + i], self.names[j], x) for j, x in zip(c.tolist(), rounded[i, c].tolist(), strict=True))
+        """(query, candidate, score) by name of the k best over the floor of each query."""
+        for q, row, score in self.hits(sizes, grams, weights, k, floor, np.full(len(sizes), floor)):
+            yield from zip([names[i] for i in q], self.names[row].tolist(), score.tolist(), strict=True)
+
+
+class Queries:
+    """The queries of a tile, the best they have met so far, and from which score on a candidate can still be among them."""
+
+    def __init__(self, entries: tuple, k: int, floor: float):
+        self.names, self.sizes, self.grams, self.weights = entries
+        self.k, self.floor = k, floor
+        self.least = np.full(len(self.names), floor)
+        self.query, self.candidate, self.score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object), np.zeros(0)
+
+    def meet(self, block: Block) -> None:
+        found = list(block.hits(self.sizes, self.grams, self.weights, self.k, self.floor, self.least))
+        if not found:
+            return
+        q, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        q, names, score = np.concatenate([self.query, q]), np.concatenate([self.candidate, block.names[row]]), np.concatenate([self.score, score])
+        order = np.lexsort((-score, q))
+        q, names, score = q[order], names[order], score[order]
+        last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == self.k - 1)
+        self.least[q[last]] = score[last]
+        kept = score >= self.least[q]  # a tie at the last place stays for the ranking by names
+        self.query, self.candidate, self.score = q[kept], names[kept], score[kept]
+
+    def found(self, country: str | None) -> pa.RecordBatch:
+        asked = np.array(self.names, dtype=object)[self.query]
+        return pa.RecordBatch.from_arrays([pa.array([country] * len(asked), pa.string()), pa.array(asked, pa.string()), pa.array(self.candidate, pa.string()), pa.array(self.score)], schema=_FOUND)
 
 
 def _entries(held: list[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -73,51 +161,102 @@ def _entries(held: list[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndar
     return [x for b in held for x in b.column("id").to_pylist()], sizes, flat.field("gram").to_numpy(), flat.field("weight").to_numpy()
 
 
-def _tile_top(k: int, floor: float):
-    """The k best of each query and tile, of rows sorted by country, tile, kind and id: candidates before queries."""
+def _tile_top(k: int, floor: float, read=None, shared=None):
+    """The best of each query and tile, of rows sorted by tile, block and id; block -1 has the queries. Accumulators get the
+    postings that were read and those that queries and candidates share."""
 
     def run(batches):
-        key, held, block = None, [], None
+        tile, number, held, queries = None, None, [], None
+
+        def over():
+            """Ends a block, and gives what a tile has found if it ends there."""
+            nonlocal queries
+            if not held:
+                return
+            if number == -1:
+                queries = Queries(_entries(held), k, floor)
+            elif queries is not None:
+                block = Block(*_entries(held))
+                queries.meet(block)
+                if read is not None:
+                    read.add(block.read)
+                    shared.add(block.shared)
+            held.clear()
+
         for batch in batches:
-            marks = list(zip(*(batch.column(c).to_pylist() for c in ("country", "block", "part", "kind")), strict=True))
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("country", "key", "lane", "part", "block")), strict=True))
             starts = [i for i in range(len(marks)) if not i or marks[i] != marks[i - 1]]
             for a, b in zip(starts, [*starts[1:], len(marks)], strict=True):
-                if marks[a][:3] != key:
-                    key, held, block = marks[a][:3], [], None
-                some = batch.slice(a, b - a)
-                if marks[a][3] == 0:
-                    held.append(some)
-                    continue
-                if block is None and held:
-                    block, held = Block(*_entries(held)), []
-                found = list(block.best(*_entries([some]), k, floor)) if block else []
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found)), *map(pa.array, zip(*found, strict=True))], schema=_FOUND)
+                if (marks[a][:4], marks[a][4]) != (tile, number):
+                    over()
+                if marks[a][:4] != tile:
+                    if queries is not None:
+                        yield queries.found(tile[0])
+                    tile, queries = marks[a][:4], None
+                number = marks[a][4]
+                held.append(batch.slice(a, b - a))
+        over()
+        if queries is not None:
+            yield queries.found(tile[0])
 
     return run
 
 
-def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, floor: float) -> DataFrame:
-    """The k candidates of the same country with the largest cosine over the floor, of unit vectors (country, id, vector) as
-    tfidf.vectors_of gives them. A country's candidates are dealt to blocks and its queries to parts; a task multiplies the
-    queries of a part with one block's postings and keeps the k best, so that no row is made for a shared gram or a pair."""
-    sizes = candidates.groupBy("country").agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("m"))
-    sizes = sizes.select("country", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_POSTINGS)).cast("int").alias("blocks"))
-    sizes = sizes.join(queries.groupBy("country").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "country")
-
-    def dealt(rows: DataFrame, kind: int, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.col(f"{own}s")).cast("int").alias(own)
-        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other)
-        return rows.join(sizes, "country").select("country", "id", "vector", F.lit(kind).alias("kind"), mine, every)
-
-    rows = dealt(candidates, 0, "block", "part").unionByName(dealt(queries, 1, "part", "block"))
-    rows = rows.repartition("country", "block", "part").sortWithinPartitions("country", "block", "part", "kind", "id")
-    found = rows.select("country", "block", "part", "kind", "id", "vector").mapInArrow(
-        _tile_top(k, floor), "country string, source1_entity_id string, candidate_entity_id string, similarity_score double"
-    )
+def block_top_k(queries: DataFrame, candidates: DataFrame, k: int, floor: float, read=None, shared=None) -> DataFrame:
+    """The k candidates of the same country, and of the same key where the rows have one, with the largest cosine over the
+    floor, of unit vectors (country, id, vector) as tfidf.fit_vectors gives them. Candidates are dealt to blocks and blocks to
+    lanes, queries to parts. A task holds the queries of a part and meets the blocks of a lane one after another; the k-th best
+    score of a query passes on to later blocks, where bounds leave out what can't reach it. No row is made for a shared gram or
+    a pair. read and shared: accumulators, see _tile_top."""
+    by = ["country", *(c for c in ("key",) if c in candidates.columns)]
+    sizes = candidates.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("m"))
+    sizes = sizes.select(*by, F.ceil(F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_POSTINGS)).cast("int").alias("blocks"))
+    sizes = sizes.join(queries.groupBy(*by).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), by)
+    sizes = sizes.withColumn("lanes", F.ceil(F.col("blocks") / LANE).cast("int"))
+
+    def own(name: str):
+        return F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
+
+    def every(name: str):
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    key = F.col("key").cast("string") if "key" in by else F.lit(None).cast("string")
+    columns = ["country", key.alias("key"), "lane", "part", "block", "id", "vector"]
+    filed = candidates.join(sizes, by).withColumn("block", own("blocks")).withColumn("lane", F.pmod("block", "lanes")).withColumn("part", every("parts"))
+    asked = queries.join(sizes, by).withColumn("block", F.lit(-1)).withColumn("part", own("parts")).withColumn("lane", every("lanes"))
+    rows = filed.select(*columns).unionByName(asked.select(*columns)).repartition("country", "key", "lane", "part")
+    rows = rows.sortWithinPartitions("country", "key", "lane", "part", "block", "id")
+    found = rows.mapInArrow(_tile_top(k, floor, read, shared), _FOUND_DDL)
+    if "key" in by:  # a pair that meets under several keys counts once
+        found = found.groupBy("country", "source1_entity_id", "candidate_entity_id").agg(F.max("similarity_score").alias("similarity_score"))
     return top_k(found, k)
 
 
+def pair_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pairs (country, source1_entity_id, candidate_entity_id) with their cosine, of unit vectors (country, id, vector): a row
+    carries both vectors and a batch is multiplied at once."""
+    rows = pairs
+    for name, column in (("source1_entity_id", "a"), ("candidate_entity_id", "b")):
+        rows = rows.join(vectors.select("country", F.col("id").alias(name), F.col("vector").alias(column)), ["country", name])
+
+    def run(batches):
+        for batch in batches:
+            sides = []
+            for c in ("a", "b"):
+                lists = batch.column(c)
+                flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                sides.append((np.repeat(np.arange(len(lists)), sizes), flat.field("gram").to_numpy(), flat.field("weight").to_numpy()))
+            row, gram, weight, side = (np.concatenate(x) for x in zip(*((*s, np.full(len(s[0]), i)) for i, s in enumerate(sides)), strict=True))
+            order = np.lexsort((side, gram, row))
+            row, gram, weight = row[order], gram[order], weight[order]
+            both = np.flatnonzero((row[1:] == row[:-1]) & (gram[1:] == gram[:-1]))
+            raw = np.bincount(row[both], weight[both] * weight[both + 1], batch.num_rows)
+            score = np.floor(raw * 10**PLACES + 0.5) / 10**PLACES
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("country", "source1_entity_id", "candidate_entity_id")), pa.array(score)], schema=_FOUND)
+
+    return rows.select("country", "source1_entity_id", "candidate_entity_id", "a", "b").mapInArrow(run, _FOUND_DDL)
+
+
 def texts_of(entities: DataFrame, text: Column) -> DataFrame:
     return entities.select("country", F.col("entity_id").alias("id"), text.alias("text"))
 
@@ -129,9 +268,7 @@ def _of(vectors: DataFrame, entities: DataFrame) -> DataFrame:
 def sparse_top_k(reference: DataFrame, candidates: DataFrame, text: Column, grams, config: TfIdf = TfIdf(), k: int = 30, floor: float = 0.1, fit_on: Column | None = None) -> DataFrame:
     """The k most similar candidates of the same country for each reference record. grams maps the column text to an array;
     fit_on chooses, by the column id, the records that the vocabulary is fitted on."""
-    everything = texts_of(reference.unionByName(candidates), text)
-    _, postings = fit_transform(everything, grams(F.col("text")), config, fit_on)
-    vectors = vectors_of(postings).persist()
+    vectors = fit_vectors(texts_of(reference.unionByName(candidates), text), grams(F.col("text")), config, fit_on)
     return block_top_k(_of(vectors, reference), _of(vectors, candidates), k, floor)
 
 
@@ -140,8 +277,7 @@ def two_pass_top_k(reference: DataFrame, sources: list[DataFrame], text: Column,
     every = reference
     for s in sources:
         every = every.unionByName(s)
-    _, postings = fit_transform(texts_of(every, text), grams(F.col("text")), config, fit_on)
-    vectors = vectors_of(postings).persist()
+    vectors = fit_vectors(texts_of(every, text), grams(F.col("text")), config, fit_on)
     return merge([block_top_k(_of(vectors, reference), _of(vectors, s), k, floor) for s in sources], k)
 
 
@@ -150,47 +286,35 @@ def two_stage_top_k(
 ) -> DataFrame:
     """Retrieval by word grams, then a second score by character grams for the retrieved pairs only."""
     retrieved = sparse_top_k(reference, candidates, text, word_grams, word_config, first, first_floor).select("country", "source1_entity_id", "candidate_entity_id")
-    everything = texts_of(reference.unionByName(candidates), text)
-    _, postings = fit_transform(everything, char_grams(F.col("text")), char_config)
-    postings = postings.persist()
-    q = postings.select("country", F.col("id").alias("source1_entity_id"), "gram", F.col("weight").alias("wq"))
-    c = postings.select("country", F.col("id").alias("candidate_entity_id"), "gram", F.col("weight").alias("wc"))
-    scored = (
-        retrieved.join(q, ["country", "source1_entity_id"])
-        .join(c, ["country", "candidate_entity_id", "gram"])
-        .groupBy("country", "source1_entity_id", "candidate_entity_id")
-        .agg(F.round(F.sum(F.col("wq") * F.col("wc")), PLACES).alias("similarity_score"))
-        .where(F.col("similarity_score") >= floor)
-    )
-    return top_k(scored, k)
-
-
-def keyed_top_k(reference: DataFrame, candidates: DataFrame, text: Column, keys: Column, grams, config: TfIdf = TfIdf(), k: int = 30, floor: float = 0.1) -> DataFrame:
-    """Block join: records meet if they share any key of the array `keys` within their country. The vocabulary is that of the
-    country, so scores of several blocks compare; a pair that meets in several blocks counts once."""
+    vectors = fit_vectors(texts_of(reference.unionByName(candidates), text), char_grams(F.col("text")), char_config)
+    return top_k(pair_scores(retrieved, vectors).where(F.col("similarity_score") >= floor), k)
+
+
+def keyed_top_k(
+    reference: DataFrame, candidates: DataFrame, text: Column, keys: Column, grams, config: TfIdf = TfIdf(), k: int = 30, floor: float = 0.1, idf_scope: str = "country"
+) -> DataFrame:
+    """Block join: records meet if they share any key of the array `keys` within their country; null keys meet none. A key's
+    records are dealt to blocks as a country's are, so a key that very many records share is multiplied in tiles. The vocabulary
+    is that of the country, so scores under several keys compare, or with idf_scope "block" that of each key; a pair that meets
+    under several keys counts once, with its best score."""
+    if idf_scope not in ("country", "block"):
+        raise ValueError(f"Unknown scope: {idf_scope}")
     everything = reference.unionByName(candidates)
-    _, postings = fit_transform(texts_of(everything, text), grams(F.col("text")), config)
-    postings = postings.persist()
-    blocks = everything.select("country", F.col("entity_id").alias("id"), F.explode(keys).alias("key")).persist()
-    mine = blocks.join(reference.select(F.col("entity_id").alias("id")), "id", "left_semi").withColumnRenamed("id", "source1_entity_id")
-    other = blocks.join(candidates.select(F.col("entity_id").alias("id")), "id", "left_semi").withColumnRenamed("id", "candidate_entity_id")
-    met = mine.join(other, ["country", "key"]).select("country", "source1_entity_id", "candidate_entity_id").distinct()
-    q = postings.select("country", F.col("id").alias("source1_entity_id"), "gram", F.col("weight").alias("wq"))
-    c = postings.select("country", F.col("id").alias("candidate_entity_id"), "gram", F.col("weight").alias("wc"))
-    pairs = (
-        met.join(q, ["country", "source1_entity_id"])
-        .join(c, ["country", "candidate_entity_id", "gram"])
-        .groupBy("country", "source1_entity_id", "candidate_entity_id")
-        .agg(F.round(F.sum(F.col("wq") * F.col("wc")), PLACES).alias("similarity_score"))
-        .where(F.col("similarity_score") > floor)
-    )
-    return top_k(pairs, k)
+    filed = everything.select("country", F.col("entity_id").alias("id"), F.explode(F.array_distinct(keys)).alias("key"), text.alias("text")).where("key is not null")
+    if idf_scope == "country":
+        vectors = fit_vectors(texts_of(everything, text), grams(F.col("text")), config)
+        rows = filed.select("country", "id", "key").join(vectors, ["country", "id"])
+    else:  # one vocabulary for each country and key, which stand together in place of the country
+        both = filed.withColumn("country", F.to_json(F.struct("country", "key")))
+        place = F.from_json("country", "country string, key string")
+        rows = fit_vectors(both, grams(F.col("text")), config).select(place["country"].alias("country"), "id", place["key"].alias("key"), "vector")
+    return block_top_k(_of(rows, reference), _of(rows, candidates), k, floor)
 
 
 def candidate_pool(candidates: DataFrame, truth_pairs: DataFrame, distractors: int, seed: int = 42) -> DataFrame:
-    """All true candidates and so many others of each country, the first by a hash of the id."""
+    """All true candidates and so many others of each country: the first in the order of the files, where the candidates have a
+    column row (tsv.read_in_order), else the first by a hash of the id."""
     true_ids = truth_pairs.select(F.col("candidate_entity_id").alias("entity_id")).distinct()
     rest = candidates.join(true_ids, "entity_id", "left_anti").withColumn("id", F.col("entity_id"))
-    from .tfidf import sampled
-
-    return candidates.join(true_ids, "entity_id", "left_semi").unionByName(sampled(rest, distractors, seed).drop("id"))
+    order = F.col("row") if "row" in candidates.columns else None
+    return candidates.join(true_ids, "entity_id", "left_semi").unionByName(sampled(rest, distractors, seed, order).drop("id"))

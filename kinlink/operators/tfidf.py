@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 @dataclass(frozen=True)
 class TfIdf:
@@ -26,9 +28,9 @@ def term_frequencies(texts: DataFrame, grams: Column) -> DataFrame:
     return texts.repartition("country", "id").select("country", "id", F.explode(grams).alias("gram")).groupBy("country", "id", "gram").agg(F.count("*").alias("tf"))
 
 
-def sampled(texts: DataFrame, per_country: int, seed: int = 42) -> DataFrame:
-    """At most so many records of each country, the first by a hash of the id."""
-    order = Window.partitionBy("country").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+def sampled(texts: DataFrame, per_country: int, seed: int = 42, by: Column | None = None) -> DataFrame:
+    """At most so many records of each country, the first by a column or by a hash of the id."""
+    order = Window.partitionBy("country").orderBy(F.xxhash64("id", F.lit(seed)) if by is None else by, "id")
     return texts.withColumn("n__", F.row_number().over(order)).where(F.col("n__") <= per_country).drop("n__")
 
 
@@ -56,20 +58,36 @@ def sizes_of(texts: DataFrame) -> DataFrame:
     return texts.groupBy("country").agg(F.count("*").alias("n"))
 
 
-def fit_transform(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_on: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, unit postings of all texts); fit_on says which records the vocabulary is fitted on."""
-    tf = term_frequencies(texts, grams).persist()  # read for the vocabulary and for the postings
+def _fitted(tf: DataFrame, texts: DataFrame, config: TfIdf, fit_on: Column | None) -> DataFrame:
+    """The vocabulary of the records that fit it."""
     if fit_on is None and config.fit_sample is None:
-        vocab = vocabulary(tf, sizes_of(texts), config)
-    else:
-        chosen = texts if fit_on is None else texts.where(fit_on)
-        chosen = chosen if config.fit_sample is None else sampled(chosen, config.fit_sample)
-        vocab = vocabulary(tf.join(chosen.select("country", "id"), ["country", "id"], "left_semi"), sizes_of(chosen), config)
+        return vocabulary(tf, sizes_of(texts), config)
+    chosen = texts if fit_on is None else texts.where(fit_on)
+    chosen = chosen if config.fit_sample is None else sampled(chosen, config.fit_sample)
+    return vocabulary(tf.join(chosen.select("country", "id"), ["country", "id"], "left_semi"), sizes_of(chosen), config)
+
+
+def fit_transform(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_on: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, unit postings of all texts); fit_on says which records the vocabulary is fitted on. The grams are counted
+    again for each of the two; fit_vectors() keeps the counts."""
+    tf = term_frequencies(texts, grams)
+    vocab = _fitted(tf, texts, config, fit_on)
     return vocab, unit_postings(tf, vocab, config)
 
 
-def vectors_of(postings: DataFrame) -> DataFrame:
-    """(country, id, vector) with the postings of a record as one array of (gram, weight), where the gram is a 64-bit hash: two
-    of a million grams fall together with a probability of 3 in 100 million."""
-    entry = F.struct(F.xxhash64("gram").alias("gram"), "weight")
-    return postings.groupBy("country", "id").agg(F.collect_list(entry).alias("vector"))
+def fit_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_on: Column | None = None) -> DataFrame:
+    """(country, id, vector) with the unit vector of a record as one array of (gram, weight). Grams are 64-bit hashes: two of a
+    million grams fall together with a probability of 3 in 100 million. Counts are gathered by record where its text is, are
+    written once, and are at unit length within their array, so only the vocabulary and the finished arrays are shuffled."""
+    tf = term_frequencies(texts, grams)
+    if config.max_features is None:  # else ties of counts go by the gram itself
+        tf = tf.withColumn("gram", F.xxhash64("gram"))
+    records = cut_lineage(tf.groupBy("country", "id").agg(F.collect_list(F.struct("gram", "tf")).alias("terms")))
+    tf = records.select("country", "id", F.explode("terms").alias("t")).select("country", "id", "t.gram", "t.tf")
+    weight = (1 + F.log("tf") if config.sublinear_tf else F.col("tf")) * F.col("idf")
+    gram = F.col("gram") if config.max_features is None else F.xxhash64("gram")
+    known = tf.join(_fitted(tf, texts, config, fit_on).select("country", "gram", "idf"), ["country", "gram"])
+    found = known.select("country", "id", F.struct(gram.alias("gram"), weight.alias("weight")).alias("x")).groupBy("country", "id").agg(F.collect_list("x").alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
+    unit = F.transform("v", lambda x: F.struct(x["gram"].alias("gram"), (x["weight"] / F.col("norm")).alias("weight")))
+    return cut_lineage(found.withColumn("norm", norm).select("country", "id", unit.alias("vector")))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-from urllib.parse import quote
+import uuid
+from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -29,16 +30,39 @@ def read_table(spark: SparkSession, path: str, schema: StructType, null_words: t
     return rows.select(*(value(f) for f in schema.fields))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """The rows of a file with their order in it, as the column row that lists and written files keep."""
-    return rows.withColumn("row", F.monotonically_increasing_id())
+def numbered(rows: DataFrame, first: str | None = None) -> DataFrame:
+    """The rows of files with their place in all of them from 0, as the column row that lists and written files keep. Files come
+    in the order of a column `first`, such as the number of their table, and then of their paths. Spark cuts files to blocks and
+    packs these in an order of its own, so the blocks are counted, added up in the files' order, and a row's place in its block
+    comes on top."""
+    block = {"file__": F.col("_metadata.file_path"), "start__": F.col("_metadata.file_block_start"), "first__": F.lit(0) if first is None else F.col(first)}
+    tagged = rows.withColumns({**block, "at__": F.monotonically_increasing_id()})
+    keys = ["first__", "file__", "start__"]
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each block
+    blocks = tagged.groupBy(*keys).agg(F.count("*").alias("n"), F.min("at__").alias("least__"))
+    blocks = blocks.withColumn("before__", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.col("before__") + F.col("at__") - F.col("least__")
+    return tagged.join(blocks, keys).select(*rows.columns, place.alias("row"))
 
 
 def read_entities(spark: SparkSession, path: str, country: str | None = None, limit: int | None = None, null_words: tuple[str, ...] = ()) -> DataFrame:
-    """Entity records with the country stripped; of one country, or the first by id, if asked for."""
+    """Entity records with the country stripped; of one country, or the first of the files, if asked for."""
     rows = read_table(spark, path, ENTITY, null_words).withColumn("country", F.regexp_replace("country", r"^\s+|\s+$", ""))
+    if limit is not None:
+        rows = numbered(rows)
     rows = rows if country is None else rows.where(F.col("country") == country)
-    return rows if limit is None else rows.orderBy("entity_id").limit(limit)
+    return rows if limit is None else rows.orderBy("row").limit(limit).drop("row")
+
+
+def read_in_order(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The entity records of several tables, numbered table by table."""
+    tables = [read_entities(spark, p).withColumn("table__", F.lit(i)) for i, p in enumerate(paths)]
+    rows = [numbered(t) for t in tables]
+    sizes = [t.agg(F.count("*")).first()[0] for t in rows[:-1]]
+    out = rows[0]
+    for i, more in enumerate(rows[1:]):
+        out = out.unionByName(more.withColumn("row", F.col("row") + sum(sizes[: i + 1])))
+    return out.drop("table__")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -95,16 +119,35 @@ def finished(spark: SparkSession, path: str) -> bool:
 
 def checkpoint(pairs: DataFrame, path: str) -> DataFrame:
     """The pairs, written once by country and read again. Each country has a folder of its own, and one that is finished is taken
-    as it is: a job that was stopped goes on with the countries that are left."""
+    as it is, so a job that is started again does what is left. All countries that are left are one write, so that the pairs are
+    computed once; each folder is then moved to its place and marked. A write that is stopped leaves no country half done."""
     spark = pairs.sparkSession
-    for r in pairs.select("country").distinct().orderBy("country").collect():  # partitions of the job, a row each
-        name = "none" if r[0] is None else "is-" + quote(r[0], safe="")
-        if not finished(spark, f"{path}/{name}"):
-            pairs.where(F.col("country").eqNullSafe(F.lit(r[0]))).write.mode("overwrite").parquet(f"{path}/{name}")
+    folders = spark._jvm.org.apache.hadoop.fs
+    files = folders.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    name = F.when(F.col("country").isNull(), "none").otherwise(F.concat(F.lit("is-"), F.url_encode("country")))
+    done = [p for p in _names(files, folders, path) if finished(spark, f"{path}/{p}")]
+    left = pairs.withColumn("folder__", F.regexp_replace(name, r"\+", "%20"))
+    if done:
+        left = left.join(spark.createDataFrame([(d,) for d in done], "folder__ string"), "folder__", "left_anti")
+    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    left.repartition("folder__").write.partitionBy("folder__").parquet(staging)
+    for folder in _names(files, folders, staging):  # file operations, no jobs
+        target = folders.Path(f"{path}/{unquote(folder.removeprefix('folder__='))}")
+        files.delete(target, True)
+        files.rename(folders.Path(f"{staging}/{folder}"), target)
+        files.create(folders.Path(target, "_SUCCESS"), True).close()
+    files.delete(folders.Path(staging), True)
     names = [p for p in ("none", "is-*") if _any(spark, f"{path}/{p}")]
     return spark.read.parquet(*(f"{path}/{p}" for p in names)) if names else spark.createDataFrame([], pairs.schema)
 
 
+def _names(files, folders, path: str) -> list[str]:
+    """The folders in a folder, but those that start with a dot or a line."""
+    at = folders.Path(path)
+    found = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()] if files.exists(at) else []
+    return sorted(n for n in found if n[0] not in "._")
+
+
 def _any(spark: SparkSession, pattern: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))

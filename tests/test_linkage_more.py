@@ -156,3 +156,108 @@ def test_sizes_of_an_index():
     assert sizing.shard_count(10, 8, 1 << 30, 4) == 1
     # 2 * ceil(4e6 / n) - 500,000 vectors of 256 bytes in 0.8 GB: 3.5e6 of them at two holders are 0.9 GB, 2.2e6 at three 0.55.
     assert [sizing.shard_count(4_000_000, 128, 8 * 10**8, most) for most in (2, 3, 8)] == [2, 3, 3]
+
+
+def _sparse(rng, n, m, copied=None):
+    """Rows of 25 grams, few of which are common and most rare, weighted by rarity, at length one; copied: rows to start from."""
+    chance = 1 / (3 + np.arange(m))
+    x = np.zeros((n, m)) if copied is None else copied.copy()
+    for row in x:
+        row[np.flatnonzero(row)[::4]] = 0
+        fresh = rng.choice(m, 25 - np.count_nonzero(row), replace=False, p=chance / chance.sum())
+        row[fresh] = np.log(1 + (3 + fresh))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _entries(x, name):
+    at = [np.flatnonzero(r) for r in x]
+    return [f"{name}{i:05d}" for i in range(len(x))], np.array([len(a) for a in at]), np.concatenate(at), np.concatenate([r[a] for r, a in zip(x, at, strict=True)])
+
+
+@pytest.mark.parametrize(("k", "floor"), [(5, 0.2), (1, 0.0), (30, 0.5)])
+def test_bounds_lose_nothing_and_read_less(k, floor):
+    rng = np.random.default_rng(7)
+    c = _sparse(rng, 500, 3000)
+    c = np.concatenate([c, _sparse(rng, 500, 3000, c), _sparse(rng, 1000, 3000)])
+    q = np.concatenate([_sparse(rng, 60, 3000, c[::33][:60]), _sparse(rng, 40, 3000)])
+    queries = similarity.Queries(_entries(q, "q"), k, floor)
+    read = shared = 0
+    for a in range(0, 2000, 250):
+        names, *rest = _entries(c[a : a + 250], "")
+        block = similarity.Block([f"c{a + i:05d}" for i in range(len(names))], *rest)
+        queries.meet(block)
+        read, shared = read + block.read, shared + block.shared
+    found = {}
+    for r in queries.found("x").to_pylist():
+        found.setdefault(r["source1_entity_id"], []).append((-r["similarity_score"], r["candidate_entity_id"]))
+    score = np.floor(q @ c.T * 1e6 + 0.5) / 1e6
+    for i in range(100):
+        want = sorted((-s, f"c{j:05d}") for j, s in enumerate(score[i].tolist()) if s > floor)[:k]
+        got = sorted(found.get(f"q{i:05d}", []))[:k]
+        assert [n for _, n in got] == [n for _, n in want] and np.allclose([s for s, _ in got], [s for s, _ in want], atol=2e-6)
+    assert read < {0.0: 0.7, 0.2: 0.7, 0.5: 0.2}[floor] * shared
+
+
+@pytest.mark.parametrize("scope", ["country", "block"])
+def test_a_hot_key_is_searched_in_tiles(spark, monkeypatch, scope):
+    """Most records share one key. Tiles are small here; the pairs are those of all records with a common key."""
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    monkeypatch.setattr(similarity, "PART", 30)
+    monkeypatch.setattr(similarity, "LANE", 2)
+    r = random.Random(5)
+    rows = [(f"{'S1' if i % 3 == 0 else 'S2'}-{i}", " ".join(r.choice(("ab", "cd", "ef", "gh", "ij", "kl")) for _ in range(4)), "UNK" if i % 5 else f"k{i % 7}", "X") for i in range(300)]
+    docs = spark.createDataFrame([*rows, ("S1-900", "ab cd", None, "X")], "entity_id string, business_name string, business_address string, country string")
+    reference, candidates = split_roles(docs)
+    keys = F.array("business_address", F.substring("business_name", 1, 1), F.col("business_address"))
+    got = similarity.keyed_top_k(reference, candidates, F.col("business_name"), keys, lambda c: word_ngrams(c, 1, 1), TfIdf(min_df=1), 5, 0.1, idf_scope=scope).collect()
+    texts = {i: t.split() for i, t, _, _ in rows}
+    kept = {i: {k, t[0]} for i, t, k, _ in rows}
+
+    def unit(group):
+        df = {}
+        for i in group:
+            for g in set(texts[i]):
+                df[g] = df.get(g, 0) + 1
+        out = {}
+        for i in group:
+            v = {g: (1 + np.log(texts[i].count(g))) * (np.log((1 + len(group)) / (1 + df[g])) + 1) for g in set(texts[i])}
+            norm = np.sqrt(sum(x * x for x in v.values()))
+            out[i] = {g: x / norm for g, x in v.items()}
+        return out
+
+    best = {}
+    texts["S1-900"], kept["S1-900"] = ["ab", "cd"], {"a"}
+    every = unit(list(texts))
+    for key in set().union(*kept.values()):
+        group = [i for i in texts if key in kept[i]]
+        units = every if scope == "country" else unit(group)
+        for a in group:
+            for b in group:
+                if a.startswith("S1") and b.startswith("S2"):
+                    score = round(sum(x * units[b].get(g, 0) for g, x in units[a].items()), 6)
+                    best[a, b] = max(best.get((a, b), 0), score)
+    want = {}
+    for (a, b), score in best.items():
+        if score > 0.1:
+            want.setdefault(a, []).append((-score, b))
+    assert {(x.source1_entity_id, x.candidate_entity_id, x["rank"]) for x in got} == {(a, b, n) for a, v in want.items() for n, (_, b) in enumerate(sorted(v)[:5], 1)}
+
+
+@pytest.mark.parametrize("block", [dense.BLOCK, 30])
+def test_cells_with_bounds_give_the_exact_result(spark, monkeypatch, block):
+    """Clustered vectors of unequal length, copies, a zero vector, countries of their own; under a fifth of all pairs is scored."""
+    monkeypatch.setattr(dense, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    middle = rng.standard_normal((60, 24))
+    x = (middle[rng.integers(0, 60, 3000)] + 0.15 * rng.standard_normal((3000, 24))) * rng.lognormal(0, 1, 3000)[:, None]
+    x[100:400] = x[100]
+    x[7] = x[40] = 0
+    rows = [(f"{'q' if i % 40 == 0 else 'c'}{i:04d}", x[i].tolist(), "a" if i % 11 else "b") for i in range(3000)]
+    df = spark.createDataFrame([*rows, ("q9999", x[1].tolist(), "alone")], "id string, vector array<double>, country string")
+    q, c = df.where("id like 'q%'"), df.where("id like 'c%'")
+    key = ["country", "source1_entity_id", "candidate_entity_id", "rank", "similarity_score"]
+    met = spark.sparkContext.accumulator(0)
+    got = sorted(dense.cell_top_k(q, c, 10, met=met).select(key).collect())
+    assert got == sorted(dense.dense_top_k(q, c, 10).select(key).collect()) and len(got) == 750
+    assert met.value < 0.2 * 75 * 2925
+    assert dense.cell_top_k(q, c.limit(0), 10).count() == 0 == dense.cell_top_k(q.limit(0), c, 10).count()
