@@ -69,23 +69,29 @@ def _first_code(states: dict[str, str], found) -> Column:
 
 def state(address: Column) -> Column:
     tokens = F.regexp_extract_all(F.lower(F.coalesce(address, F.lit(""))), F.lit(r"\b[a-z&]+\b"), F.lit(0))
-    line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    return _first_code(STATES, lambda name: line.contains(f" {name} "))
+    spaced = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return bind(spaced, lambda line: _first_code(STATES, lambda name: line.contains(f" {name} ")))
 
 
 def state_short(address: Column) -> Column:
-    text = F.lower(romanise(F.coalesce(address, F.lit(""))))
+    return bind(F.lower(romanise(F.coalesce(address, F.lit("")))), _state_short)
+
+
+def _state_short(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(r"\b[a-z&]+\b"), F.lit(0))
-    line = F.concat(F.lit(" "), text, F.lit(" "))
-    return _first_code(STATES_SHORT, lambda name: F.array_contains(tokens, name) | line.contains(f" {name} "))
+    both = F.struct(tokens.alias("tokens"), F.concat(F.lit(" "), text, F.lit(" ")).alias("line"))
+    return bind(both, lambda x: _first_code(STATES_SHORT, lambda name: F.array_contains(x["tokens"], name) | x["line"].contains(f" {name} ")))
 
 
 def city(address: Column) -> Column:
     """A large city's usual name, alphabetically the first if there are several, or the empty string."""
-    text = F.lower(romanise(F.coalesce(address, F.lit(""))))
+    return bind(F.lower(romanise(F.coalesce(address, F.lit("")))), _city)
+
+
+def _city(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(r"\b[a-z0-9]+\b"), F.lit(0))
-    one = F.array_min(F.array_intersect(tokens, F.array(*map(F.lit, CITIES))))
-    usual = F.coalesce(*(F.when(one == a, b) for a, b in CITY_SYNONYMS.items()), one, F.lit(""))
+    first = F.array_min(F.array_intersect(tokens, F.array(*map(F.lit, CITIES))))
+    usual = bind(first, lambda one: F.coalesce(*(F.when(one == a, b) for a, b in CITY_SYNONYMS.items()), one, F.lit("")))
     return F.when(text.contains("navi mumbai"), "mumbai").when(text.contains("new delhi"), "delhi").otherwise(usual)
 
 
@@ -121,6 +127,7 @@ def _single_keys(parts: Column, sig: Column) -> Column:
     raw, second = parts["raw"], F.coalesce(F.get(parts["tokens"], 1), F.lit(""))
     pin, st, sx = parts["pin"], parts["st"], soundex(sig)
     one, two, three = (prefix(sig, n) for n in (1, 2, 3))
+    # The names of the strategies, and below the tags of sets and of coarse keys, which results carry.
     keys = {
         "raw_prefix_1": prefix(raw, 1),
         "raw_prefix_2": prefix(raw, 2),

@@ -13,10 +13,10 @@ from .functions import keys as K
 from .functions.grams import char_wb, word_ngrams
 from .functions.scripts import fold_table, latin_table
 from .functions.text import norm_legal, norm_library, norm_production, norm_universal
-from .operators import dense, evaluate, profile, similarity, tfidf, topk, validate
+from .operators import dense, evaluate, profile, similarity, svd, tfidf, topk, validate
 from .operators.tfidf import TfIdf
 from .plans.linkage import Linkage, link
-from .schema import document_entities, part_entities, role_id, split_roles
+from .schema import PLACES, document_entities, part_entities, postal_entities, role_id, split_roles
 
 CONFIG = TfIdf(min_df=2, max_df=0.5)
 WORDS = TfIdf(min_df=2, max_df=0.05)
@@ -192,6 +192,65 @@ def disjunctive_retention(spark, d):
     return _rounded(profile.set_retention(_truth(spark, d), sets))
 
 
+def _postal(spark, d):
+    return postal_entities(_read(spark, d, "part"))
+
+
+def _postal_keys(spark, d):
+    keys = K.blocking_keys(F.col("business_name"), F.col("business_address"))
+    return _postal(spark, d).select(F.col("entity_id").alias("id"), F.explode(keys).alias("strategy", "key"))
+
+
+def address_keys(spark, d):
+    """Every key of parts with postal addresses."""
+    return _postal_keys(spark, d)
+
+
+def address_profile(spark, d):
+    return _rounded(profile.block_profile(_postal_keys(spark, d).where(~F.col("strategy").startswith("_"))))
+
+
+def address_retention(spark, d):
+    return _rounded(profile.key_retention(_truth(spark, d), _postal_keys(spark, d).where(~F.col("strategy").startswith("_"))))
+
+
+def address_sets(spark, d):
+    keys = K.blocking_keys(F.col("business_name"), F.col("business_address"))
+    sets = _postal(spark, d).select(F.col("entity_id").alias("id"), F.explode(K.disjunctive_keys(keys)).alias("scheme", "keys"))
+    return sets.select("id", "scheme", F.array_join(F.array_sort("keys"), ",").alias("keys"))
+
+
+def address_fields(spark, d):
+    """On which share of the records each field of an address is found."""
+    address = F.col("business_address")
+    fields = {"pin": K.pincode(address), "state": K.state(address), "state_short": K.state_short(address), "city": K.city(address)}
+    return _rounded(profile.field_presence(_postal(spark, d), fields))
+
+
+def coarse_keys(spark, d):
+    """One key for each record by each of the five strategies, and the sets of the two that give several."""
+    name, address = F.col("business_name"), F.col("business_address")
+    keys = {s: K.coarse_key(name, address, s) for s in ("name_pref2", "name_pref3", "city", "name1_state", "name2_city")}
+    keys |= {s: F.array_join(F.array_sort(K.multi_keys(name, address, s)), ",") for s in ("disj_w1_w2", "disj_name2_or_city")}
+    stacked = F.explode(F.create_map(*(x for k, v in keys.items() for x in (F.lit(k), v)))).alias("strategy", "key")
+    return _postal(spark, d).select(F.col("entity_id").alias("id"), stacked)
+
+
+def subpartition_topk_block_idf(spark, d):
+    """As subpartition_topk, with a vocabulary for each block."""
+    reference, candidates = split_roles(_parts(spark, d))
+    keys = F.array(K.coarse_key(F.col("business_name"), F.col("business_address"), "name_pref2"))
+    return similarity.keyed_top_k(reference, candidates, _text(), keys, _chars, CONFIG, k=10, floor=0.1, idf_scope="block")
+
+
+def svd_vectors(spark, d):
+    """The parts' vectors in 128 dimensions."""
+    texts = similarity.texts_of(_parts(spark, d), _text()).withColumn("country", F.lit("all"))
+    _, postings = tfidf.fit_transform(texts, _chars(F.col("text")), CONFIG)
+    found = svd.truncated_svd(postings)
+    return found.transform(postings).select("country", "id", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))
+
+
 def _keyed(spark, d, keys):
     reference, candidates = split_roles(_parts(spark, d))
     return similarity.keyed_top_k(reference, candidates, _text(), keys, _chars, CONFIG, k=10, floor=0.1)
@@ -276,7 +335,8 @@ QUERIES = {
         metrics_by_country, list_metrics, reduction_ratio, config_comparison, norm_legal_ascii, norm_universal_text, blocking_keys, block_profile,
         key_retention, disjunctive_retention, subpartition_topk, disjunctive_topk, two_stage_topk, dense_topk, dense_cells_topk,
         leg_union, validate_lists, country_pivot, script_profile, match_cardinality, token_changes, score_histogram,
-        stratified_sample, projected_vectors,
+        stratified_sample, projected_vectors, svd_vectors, address_keys, address_profile, address_retention, address_sets, address_fields,
+        coarse_keys, subpartition_topk_block_idf,
     )
 }
 
@@ -500,3 +560,126 @@ SELECT 'all' AS country, source1_entity_id, candidate_entity_id, similarity_scor
 }
 # The bounds of the cells leave out nothing.
 ORACLE_SQL["dense_cells_topk"] = ORACLE_SQL["dense_topk"]
+
+# Blocking keys of entities with ASCII names: ent (id, name, address).
+_POSTAL = f"""place AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}', '{s}')" for i, (c, s) in enumerate(PLACES))}) p(i, city, state)),
+ent AS (
+  SELECT (CASE WHEN p_partkey % 10 = 0 THEN 'S1-' WHEN p_partkey % 2 = 1 THEN 'S2-' ELSE 'S3-' END) || CAST(p_partkey AS VARCHAR) AS id,
+    CASE WHEN p_partkey % 11 = 5 THEN 'The ' || p_name WHEN p_partkey % 11 = 6 THEN '' ELSE p_name END AS name,
+    CASE WHEN p_partkey % 23 <> 0 THEN array_to_string(list_filter(['Plot ' || CAST(p_size AS VARCHAR), city, trim(state || ' ' ||
+      CASE WHEN p_partkey % 7 = 3 THEN '' WHEN p_partkey % 7 = 4 THEN '0' || CAST(p_partkey % 90000 + 10000 AS VARCHAR) ELSE CAST(p_partkey * 7919 % 800000 + 110001 AS VARCHAR) END)],
+      lambda x: x <> ''), ', ') END AS address
+  FROM part JOIN place ON place.i = p_partkey % {len(PLACES)})"""
+
+
+def _words_sql(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _state_sql(states: dict[str, str], found: str) -> str:
+    return "CASE " + " ".join(f"WHEN {found.format(name)} THEN '{code}'" for name, code in states.items()) + " ELSE '' END"
+
+
+def _soundex_sql(token: str) -> str:
+    digits = f"translate(upper({token}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', '012301270224550126230172020000000000')"
+    found = f"substr({digits}, 1, 1) || replace(substr({digits}, 2), '7', '')"
+    for d in "0123456":
+        found = f"regexp_replace({found}, '{d}+', '{d}', 'g')"
+    return f"CASE WHEN regexp_matches({token}, '^[a-z]') THEN rpad(upper(substr({token}, 1, 1)) || substr(replace(substr({found}, 2), '0', ''), 1, 3), 4, '0') ELSE '' END"
+
+
+def _significant_sql(stopwords) -> str:
+    return f"coalesce(list_filter(tokens, lambda t: NOT list_contains({_words_sql(stopwords)}, t) AND length(t) >= 2)[1], tokens[1], '')"
+
+
+def _prefix_sql(text: str, n: int) -> str:
+    return f"CASE WHEN length({text}) >= {n} THEN substr({text}, 1, {n}) ELSE '' END"
+
+
+def _made_sql(key: str, *parts: str) -> str:
+    return f"CASE WHEN {' AND '.join(f"{p} <> ''" for p in parts)} THEN {key} ELSE '' END"
+
+
+_KEYS = rf"""tok AS (SELECT id, coalesce(address, '') AS address, regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]', '', 'g') AS raw,
+  regexp_extract_all(lower(coalesce(name, '')), '\b[a-z0-9]+\b') AS tokens, lower(coalesce(address, '')) AS low FROM ent),
+fld AS (SELECT *, regexp_extract(address, '\b([1-9][0-9]{{5}})\b', 1) AS pin, ' ' || array_to_string(regexp_extract_all(low, '\b[a-z&]+\b'), ' ') || ' ' AS line,
+  regexp_extract_all(low, '\b[a-z&]+\b') AS short, list_min(list_filter(regexp_extract_all(low, '\b[a-z0-9]+\b'), lambda t: list_contains({_words_sql(K.CITIES)}, t))) AS town,
+  {_significant_sql(K.STOPWORDS)} AS sig, {_significant_sql(K.STOPWORDS_SHORT)} AS sig_short, coalesce(tokens[2], '') AS second FROM tok),
+had AS (SELECT *, {_state_sql(K.STATES, "contains(line, ' {} ')")} AS st, {_state_sql(K.STATES_SHORT, "list_contains(short, '{0}') OR contains(' ' || low || ' ', ' {0} ')")} AS st_short,
+  CASE WHEN contains(low, 'navi mumbai') THEN 'mumbai' WHEN contains(low, 'new delhi') THEN 'delhi' {" ".join(f"WHEN town = '{a}' THEN '{b}'" for a, b in K.CITY_SYNONYMS.items())} ELSE coalesce(town, '') END AS city,
+  {_soundex_sql("sig")} AS sx, {_prefix_sql("sig", 1)} AS one, {_prefix_sql("sig", 2)} AS two, {_prefix_sql("sig", 3)} AS three, {_prefix_sql("second", 2)} AS next2,
+  substr(pin, 1, 1) AS zone, substr(pin, 1, 2) AS circle FROM fld)"""
+
+_SINGLE = {
+    "raw_prefix_1": _prefix_sql("raw", 1), "raw_prefix_2": _prefix_sql("raw", 2), "raw_prefix_3": _prefix_sql("raw", 3), "clean_sig_prefix_1": "one", "clean_sig_prefix_2": "two",
+    "clean_sig_prefix_3": "three", "name_soundex": "sx", "addr_pincode_6": "pin", "addr_pincode_circle_2": "circle", "addr_pincode_zone_1": "zone", "addr_state": "st",
+    "comp_sig1_state": _made_sql("one || '_' || st", "sig", "st"), "comp_sig2_state": _made_sql("two || '_' || st", "two", "st"),
+    "comp_sig1_pinzone": _made_sql("one || '_z' || zone", "sig", "pin"), "comp_sig2_pinzone": _made_sql("two || '_z' || zone", "two", "pin"),
+    "comp_sig1_pincircle": _made_sql("one || '_c' || circle", "sig", "pin"), "comp_soundex_state": _made_sql("sx || '_' || st", "sig", "st"), "_second_sig_prefix_2": "next2",
+}
+_SETS = {
+    "disj_w1_2_OR_w2_2": (("w1", "two"), ("w2", "next2")), "disj_name2_OR_pincircle2": (("nm", "two"), ("pin", "circle")),
+    "disj_composite_robust": (("ns", "two", "st"), ("np", "two", "circle"), ("ss", "sx", "st")), "disj_name2_OR_soundex": (("pref", "two"), ("sndx", "sx")),
+    "disj_name3_OR_name2state": (("pref3", "three"), ("p2st", "two", "st")),
+}
+
+
+def _stacked_sql(name: str, value: str, columns: dict[str, str]) -> str:
+    rows = ", ".join(f"{{'n': '{k}', 'v': {v}}}" for k, v in columns.items())
+    return f"SELECT id, x.n AS {name}, x.v AS {value} FROM (SELECT id, unnest([{rows}]) AS x FROM had)"
+
+
+def _tagged_sql(options) -> str:
+    made = [f"CASE WHEN {' AND '.join(f"{p} <> ''" for p in parts)} THEN '{tag}_' || {" || '_' || ".join(parts)} END" for tag, *parts in options]
+    return f"list_sort(list_distinct(list_filter([{', '.join(made)}], lambda t: t IS NOT NULL)))"
+
+
+def _first_sql(n: int, missing: str) -> str:
+    return f"CASE WHEN sig_short = '' THEN '{missing}' ELSE substr(sig_short, 1, {n}) END"
+
+
+def _any_sql(missing: str, *options: str) -> str:
+    found = f"list_sort(list_distinct(list_filter([{', '.join(options)}], lambda t: t IS NOT NULL)))"
+    return f"CASE WHEN len({found}) > 0 THEN array_to_string({found}, ',') ELSE '{missing}' END"
+
+
+_COARSE = {
+    "name_pref2": _first_sql(2, "UNK"), "name_pref3": _first_sql(3, "UNK"),
+    "city": "CASE WHEN city <> '' THEN 'c_' || city WHEN st_short <> '' THEN 's_' || st_short ELSE 'loc_UNK' END",
+    "name1_state": f"{_first_sql(1, 'u')} || '_' || CASE WHEN st_short <> '' THEN st_short ELSE 'unk' END",
+    "name2_city": f"{_first_sql(2, 'u')} || '_' || CASE WHEN city <> '' THEN city WHEN st_short <> '' THEN st_short ELSE 'unk' END",
+    "disj_w1_w2": _any_sql("w_unk", "CASE WHEN length(sig_short) >= 2 THEN 'w_' || substr(sig_short, 1, 2) END", "CASE WHEN length(second) >= 2 THEN 'w_' || substr(second, 1, 2) END"),
+    "disj_name2_or_city": _any_sql("unk", "CASE WHEN length(sig_short) >= 2 THEN 'n_' || substr(sig_short, 1, 2) END", "CASE WHEN city <> '' THEN 'c_' || city END"),
+}
+_SINGLE_ROWS, _SET_ROWS = _stacked_sql("strategy", "key", _SINGLE), _stacked_sql("scheme", "keys", {k: _tagged_sql(v) for k, v in _SETS.items()})
+_PROFILE = """SELECT strategy, count(*) AS blocks, CAST(max(n) AS BIGINT) AS largest, median(n) AS median_block, round(1 - sum(n * n)::DOUBLE / (sum(n)::DOUBLE * sum(n)), 9) AS reduction_ratio
+FROM (SELECT strategy, CASE WHEN key = '' THEN '__MISSING__' ELSE key END AS key, count(*) AS n FROM keyed WHERE NOT starts_with(strategy, '_') GROUP BY ALL) GROUP BY strategy"""
+_RETENTION = """SELECT a.strategy, count(*) AS pairs, CAST(sum(CASE WHEN a.key = b.key AND a.key <> '' THEN 1 ELSE 0 END) AS BIGINT) AS kept,
+  round(sum(CASE WHEN a.key = b.key AND a.key <> '' THEN 1 ELSE 0 END) / count(*), 9) AS retention
+FROM truth t JOIN keyed a ON a.id = t.source1_entity_id JOIN keyed b ON b.id = t.candidate_entity_id AND b.strategy = a.strategy WHERE NOT starts_with(a.strategy, '_') GROUP BY a.strategy"""
+_SET_RETENTION = """SELECT a.scheme, count(*) AS pairs, CAST(sum(CASE WHEN len(list_intersect(a.keys, b.keys)) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS kept,
+  round(sum(CASE WHEN len(list_intersect(a.keys, b.keys)) > 0 THEN 1 ELSE 0 END) / count(*), 9) AS retention
+FROM truth t JOIN sets a ON a.id = t.source1_entity_id JOIN sets b ON b.id = t.candidate_entity_id AND b.scheme = a.scheme GROUP BY a.scheme"""
+
+for _name, _ent in (("part", _PART), ("postal", _POSTAL)):
+    _start = f"WITH {_ent}, {_KEYS}"
+    _keyed_rows, _set_rows = f"keyed AS ({_SINGLE_ROWS})", f"sets AS ({_SET_ROWS})"
+    if _name == "part":
+        ORACLE_SQL["blocking_keys"] = f"{_start} {_SINGLE_ROWS}"
+        ORACLE_SQL["disjunctive_retention"] = f"{_start}, {_TRUTH}, {_set_rows} {_SET_RETENTION}"
+    else:
+        ORACLE_SQL["address_keys"] = f"{_start} {_SINGLE_ROWS}"
+        ORACLE_SQL["address_sets"] = f"{_start}, {_set_rows} SELECT id, scheme, array_to_string(keys, ',') AS keys FROM sets"
+        ORACLE_SQL["coarse_keys"] = f"{_start} {_stacked_sql('strategy', 'key', _COARSE)}"
+        ORACLE_SQL["address_fields"] = f"""{_start}, shown AS ({_stacked_sql("field", "value", {"pin": "pin", "state": "st", "state_short": "st_short", "city": "city"})})
+SELECT field, round(avg(CASE WHEN value <> '' THEN 1.0 ELSE 0.0 END), 9) AS presence FROM shown GROUP BY field"""
+    ORACLE_SQL["block_profile" if _name == "part" else "address_profile"] = f"{_start}, {_keyed_rows} {_PROFILE}"
+    ORACLE_SQL["key_retention" if _name == "part" else "address_retention"] = f"{_start}, {_TRUTH}, {_keyed_rows} {_RETENTION}"
+
+# Each block in place of a country; a record has one block.
+ORACLE_SQL["subpartition_topk_block_idf"] = (
+    _with(
+        _PART.replace("ent AS", "ent0 AS"), _SIG.replace("FROM ent)", "FROM ent0)"), "ent AS (SELECT id, name, address, text, e.country || '|' || one AS country FROM ent0 e JOIN sig USING (id))", _char_grams(), _fit(), _best(10, 0.1)
+    )
+    + "SELECT e.country, source1_entity_id, candidate_entity_id, similarity_score, rank FROM top JOIN ent0 e ON e.id = source1_entity_id"
+)

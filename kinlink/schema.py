@@ -35,6 +35,27 @@ def document_entities(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Places of the postal view: city and state as an address writes them; a blank one is left out.
+PLACES = (
+    ("Pune", "Maharashtra"), ("Navi Mumbai", "MAHARASHTRA"), ("Bangalore", "Karnataka"), ("", "Tamil Nadu"), ("New Delhi", ""), ("Kochi", "Kerala"), ("Cochin", "KERALA"),
+    ("Jammu", "Jammu & Kashmir"), ("", ""), ("Gurugram", "Haryana"), ("Mysuru", "Karnataka"), ("Kolkata", "West Bengal"), ("Surat", "Gujrat"),
+)
+
+
+def postal_entities(part: DataFrame) -> DataFrame:
+    """Parts with an address that has a city, a state and a PIN code, or lacks some of them, by their key."""
+    key = F.col("p_partkey")
+    place = F.array(*(F.struct(F.lit(c).alias("city"), F.lit(s).alias("state")) for c, s in PLACES))[(key % len(PLACES)).cast("int")]
+    pin = F.when(key % 7 == 3, "").when(key % 7 == 4, F.concat(F.lit("0"), (key % 90000 + 10000).cast("string"))).otherwise((key * 7919 % 800000 + 110001).cast("string"))
+    parts = F.filter(F.array(F.concat(F.lit("Plot "), F.col("p_size").cast("string")), place["city"], F.trim(F.concat_ws(" ", place["state"], pin))), lambda x: x != "")
+    return part.select(
+        role_id(key).alias("entity_id"),
+        F.when(key % 11 == 5, F.concat(F.lit("The "), F.col("p_name"))).when(key % 11 == 6, "").otherwise(F.col("p_name")).alias("business_name"),
+        F.when(key % 23 != 0, F.array_join(parts, ", ")).alias("business_address"),
+        F.lit("India").alias("country"),
+    )
+
+
 def is_reference(entity_id: Column) -> Column:
     return entity_id.startswith("S1-")
 
