@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,18 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def wide_batches(spark: SparkSession, rows: int = 10_000) -> Iterator[None]:
+    """Within it, actions over rows without whole texts send so many at once to a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """A string column as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns: fixed lists of insults and threats, word shapes, and groups of words and word beginnings that
-the labelled rows tie to toxic documents. One pass over all documents gathers how often each voter and each pair of voters
+Voters are lexicons and patterns: fixed lists of insults and of threats in four languages, ways to address someone in each, word
+shapes, and families of words that the labelled rows tie to toxic documents, a family being the words of one beginning. One pass over all documents gathers how often each voter and each pair of voters
 fires. A generative label model explains the covariances of voters by one hidden label (a median over triplets gives every voter's rate
 on either class); what the label leaves unexplained are correlations, which lessen the weight of voters that repeat each other.
 The model's posterior labels, with the known labels as one more voter, train a logistic regression on the counts of the mined
-words, and that scores every whole text.
+words, and that scores every whole text. How much a known label weighs is chosen on the sample: fits on either half of it are
+judged by the known labels of the other half.
 
 Defined cases: a null or empty text fires no voter and gets the score of a text without any known word; without labelled rows
 of both classes the score is the share of toxic labels (0 without any); terms that are equally telling go by their bytes, and a
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,26 +37,36 @@ FOLDS, HELD_OUT = 5, 0
 SAMPLE_PER_CLASS = 4096
 #: Words and word beginnings mined from the sample.
 TERMS = 512
-#: Lexicon voters that the mined terms are dealt to.
+#: Voters of families of mined terms: the most telling families, and one for all others.
 TERM_VOTERS = 24
+#: Letters that the terms of a family begin with.
+STEM = 3
 #: Lengths of the word beginnings that can be terms, in characters.
 PREFIXES = (3, 4, 5, 6)
-#: A known label counts as a voter of this accuracy.
-LABEL_ACCURACY = 0.98
-
-# General lexicons, in lower case.
-INSULTS = (
-    "idiot", "idiots", "idiotic", "moron", "morons", "stupid", "dumb", "fool", "loser", "losers", "scum", "trash", "garbage",
-    "clown", "pathetic", "worthless", "disgusting", "filthy", "vermin", "coward", "liar", "imbecile", "lunatic", "pig", "rat",
+#: Accuracies of a known label as a voter, of which the sample chooses one.
+LABEL_ACCURACIES = (0.9, 0.98, 0.999, 0.999999)
+
+# General lexicons of English, German, French and Spanish, in lower case: insults, then threats.
+LEXICONS = (
+    "idiot idiots idiotic moron morons stupid dumb fool loser losers scum trash garbage clown pathetic worthless disgusting filthy vermin coward liar imbecile lunatic pig rat",
+    "idioten dumm dummkopf trottel depp versager abschaum müll widerlich ekelhaft dreckig ungeziefer feigling lügner schwein ratte wertlos erbärmlich",
+    "idiote idiots stupide imbécile crétin abruti débile ordure déchet dégoûtant vermine lâche menteur porc clown minable pathétique",
+    "idiota idiotas estúpido estúpida imbécil tonto basura escoria asqueroso alimaña cobarde mentiroso cerdo rata payaso patético inútil",
+    "kill die hurt destroy beat hang shoot burn punish suffer",
+    "töten sterben umbringen zerstören schlagen hängen erschießen verbrennen bestrafen leiden",
+    "tuer mourir crever détruire frapper pendre brûler punir souffrir",
+    "matar morir muere destruir golpear colgar quemar castigar sufrir",
 )
-THREATS = ("kill", "die", "hurt", "destroy", "beat", "hang", "shoot", "burn", "punish", "suffer")
-# Patterns over the raw text.
+# Patterns over the raw text: someone is called something, in each language; letters replaced by signs; shouting.
 PATTERNS = (
     re.compile(rb"(?i)\byou(?:'re| are)? (?:an? )?(?:idiot|moron|fool|loser|clown|liar)"),
+    re.compile("(?i)\\bdu (?:bist )?(?:ein(?:e)? )?(?:idiot|trottel|depp|versager|l\u00fcgner|schwein)".encode()),
+    re.compile("(?i)\\b(?:tu es|t'es|esp\u00e8ce d['e]) ?(?:une? )?(?:idiot|cr\u00e9tin|abruti|menteur|porc)".encode()),
+    re.compile("(?i)\\b(?:eres|t\u00fa) (?:una? )?(?:idiota|imb\u00e9cil|tonto|mentiroso|cerdo)".encode()),
     re.compile(rb"(?i)\b[a-z]+[*@#$]{2,}[a-z]+\b"),
     re.compile(rb"[!?]{3,}"),
 )
-VOTERS = TERM_VOTERS + 2 + len(PATTERNS)
+VOTERS = TERM_VOTERS + len(LEXICONS) + len(PATTERNS)
 
 #: Counts are taken per so many words in longer texts, so that length alone gathers no weight.
 PER_WORDS = 200
@@ -97,12 +109,18 @@ def mine(sample: DataFrame, terms: int = TERMS) -> list[bytes]:
     return [bytes(r["term"]) for r in rows]
 
 
+def families(terms: list[bytes]) -> list[int]:
+    """The voter of each term: one for each beginning, in the order of the terms, and the last for all that come after."""
+    number: dict[str, int] = {}
+    return [min(number.setdefault(t.decode("utf-8", "ignore").rstrip("*")[:STEM], len(number)), TERM_VOTERS - 1) for t in terms]
+
+
 class Reader:
     """Counts terms and casts votes on one text after another."""
 
     def __init__(self, terms: list[bytes]):
         self.index = {t: i for i, t in enumerate(terms)}
-        self.insults, self.threats = {x.encode() for x in INSULTS}, {x.encode() for x in THREATS}
+        self.voter, self.lexicons = families(terms), [{x.encode() for x in words.split()} for words in LEXICONS]
         self.memo: dict[bytes, tuple[int, ...]] = {}
 
     def of(self, word: bytes) -> tuple[int, ...]:
@@ -123,11 +141,11 @@ class Reader:
     def votes(self, text: bytes, found: Counter, counts: dict[int, int]) -> np.ndarray:
         out = np.zeros(VOTERS, dtype=bool)
         for i in counts:
-            out[i % TERM_VOTERS] = True
-        out[TERM_VOTERS] = not self.insults.isdisjoint(found)
-        out[TERM_VOTERS + 1] = not self.threats.isdisjoint(found)
+            out[self.voter[i]] = True
+        for k, lexicon in enumerate(self.lexicons):
+            out[TERM_VOTERS + k] = not lexicon.isdisjoint(found)
         for k, pattern in enumerate(PATTERNS):
-            out[TERM_VOTERS + 2 + k] = pattern.search(text) is not None
+            out[TERM_VOTERS + len(LEXICONS) + k] = pattern.search(text) is not None
         return out
 
 
@@ -200,12 +218,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.2) -> np.ndarray:
+def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.2, rounds: int = 25) -> np.ndarray:
     """Logistic regression on soft targets by Newton steps; the last column of x is the constant."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
-    for _ in range(25):
+    for _ in range(rounds):
         p = sigmoid(x @ w)
         step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (p - target)) + penalty * w)
         w -= step
@@ -214,6 +232,28 @@ def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: flo
     return w
 
 
+def with_labels(logit: np.ndarray, y: np.ndarray, accuracy: float) -> np.ndarray:
+    """Posteriors with the known labels as one more voter of this accuracy."""
+    told = math.log(accuracy / (1 - accuracy))
+    return sigmoid(logit + np.where(y > 0, told, -told))
+
+
+def chosen_accuracy(x: np.ndarray, logit: np.ndarray, y: np.ndarray, weight: np.ndarray, half: np.ndarray) -> float:
+    """The accuracy whose fits on one half tell the known labels of the other half best (the least mean loss of both classes);
+    of equals the first."""
+    best, least = LABEL_ACCURACIES[1], math.inf
+    if all(len(set(y[half == h])) == 2 for h in (0, 1)):
+        for accuracy in LABEL_ACCURACIES:
+            target, loss = with_labels(logit, y, accuracy), 0.0
+            for h in (0, 1):
+                p = np.clip(sigmoid(x[half != h] @ fit_linear(x[half == h], target[half == h], weight[half == h], rounds=8)), 1e-6, 1 - 1e-6)
+                known = y[half != h]
+                loss -= np.log(p[known > 0]).mean() + np.log(1 - p[known == 0]).mean()
+            if loss < least:
+                best, least = accuracy, loss
+    return best
+
+
 def weight_of(count, n_words: int):
     """What a term's count is worth in a text of so many words."""
     return np.log1p(np.asarray(count, dtype=float) * (PER_WORDS / max(n_words, PER_WORDS)))
@@ -264,9 +304,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     x[:, -1] = 1.0
     for k, r in enumerate(got):
         x[k, r["at"]] = weight_of(r["n"], r["size"])
-    told = math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    posterior = sigmoid(label_model.logit(np.array([r["votes"] for r in got], dtype=bool)) + np.where(y > 0, told, -told))
     weight = np.array([stands_for[int(c)] for c in y])
+    logit = label_model.logit(np.array([r["votes"] for r in got], dtype=bool))
+    half = np.array([zlib.crc32(repr((sorted(zip(r["at"], r["n"], strict=True)), r["size"])).encode()) % 2 for r in got])
+    posterior = with_labels(logit, y, chosen_accuracy(x, logit, y, weight / weight.mean(), half))
     return Model(terms, fit_linear(x, posterior, weight / weight.mean()), prior)
 
 

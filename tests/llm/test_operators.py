@@ -407,3 +407,44 @@ def test_balance_evens_costs():
     costs = [sum(packing.cost(len(p[2])) for p in s) for s in full]
     assert all(sum(len(p[2]) for p in s) == 4096 for s in full) and sum(len(p[2]) for p in rest) < 4096
     assert max(costs) < 1.2 * min(costs)
+
+
+def test_moments_against_brute_force(spark):
+    docs, labels = labelled(spark, 60)
+    terms = [b"vil*", b"vilex1", b"idiot", b"w12*", b"w22", b"mor*", b"moron"]
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    reader = toxicity.Reader(terms)
+    votes = []
+    for t in texts:
+        found = {w for w in words(t)}
+        row = [False] * toxicity.VOTERS
+        for i, term in enumerate(terms):
+            stem = term.decode().rstrip("*")[: toxicity.STEM]
+            number = list(dict.fromkeys(x.decode().rstrip("*")[: toxicity.STEM] for x in terms)).index(stem)
+            row[number] |= any(w.startswith(term[:-1]) and len(w) > len(term) - 1 if term.endswith(b"*") else w == term for w in found)
+        for k, lexicon in enumerate(toxicity.LEXICONS):
+            row[toxicity.TERM_VOTERS + k] = bool({w.decode() for w in found} & set(lexicon.split()))
+        for k, pattern in enumerate(toxicity.PATTERNS):
+            row[toxicity.TERM_VOTERS + len(toxicity.LEXICONS) + k] = bool(pattern.search(t))
+        votes.append([*row, True])
+    v = np.array(votes, dtype=np.int64)
+    assert (toxicity.moments(docs.repartition(3), terms) == v.T @ v).all() and v[:, :4].any() and len(set(reader.voter)) == 5
+
+
+def test_families_and_patterns_of_each_language():
+    many = [f"{a}{b}x".encode() for a in "abcdef" for b in "ghijk"]
+    assert toxicity.families([b"abc*", b"abd", b"abcd", b"abc"]) == [0, 1, 0, 0] and max(toxicity.families(many)) == toxicity.TERM_VOTERS - 1
+    for text in ("You are an idiot", "du bist ein Trottel", "tu es un crétin", "espèce d'abruti", "eres un imbécil", "m**on", "what!!!"):
+        assert sum(bool(p.search(text.encode())) for p in toxicity.PATTERNS) == 1, text
+
+
+def test_the_weight_of_a_known_label_is_chosen_by_the_data():
+    rng = np.random.default_rng(0)
+    truth = rng.random(600) < 0.4
+    x = np.column_stack([truth + 0.1 * rng.standard_normal(600), np.ones(600)])
+    half, weight = np.arange(600) % 2, np.ones(600)
+    misled = np.where(truth, -5.0, 5.0)  # a label model that has it wrong
+    assert toxicity.chosen_accuracy(x, misled, truth.astype(float), weight, half) == toxicity.LABEL_ACCURACIES[-1]
+    told = np.where(rng.random(600) < 0.5, ~truth, truth).astype(float)  # labels that say nothing about x
+    assert toxicity.chosen_accuracy(x, np.zeros(600), told, weight, half) == toxicity.LABEL_ACCURACIES[0]
+    assert toxicity.chosen_accuracy(x, misled, np.zeros(600), weight, half) == toxicity.LABEL_ACCURACIES[1]
