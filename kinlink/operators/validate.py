@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Examples kept for each issue.
 EXAMPLES = 5
 MATCHING = ("source1_entity_id", "matched_entity_ids")
@@ -51,34 +53,41 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 def issues(rows: DataFrame, required: DataFrame | None = None, known: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """(issue, n, examples) of id lists. required has the reference ids (entity_id), known those of the candidates; lines are
-    the raw lines, for rows without a TAB."""
-    each = rows.select("source1_entity_id", F.explode("ids").alias("id"))
-    found = [
-        rows.groupBy("source1_entity_id").count().where("count > 1").select(F.lit("duplicate row").alias("issue"), F.col("source1_entity_id").alias("example")),
-        rows.where(F.size("ids") != F.size(F.array_distinct("ids"))).select(F.lit("duplicate id in a list").alias("issue"), F.col("source1_entity_id").alias("example")),
-        each.where(F.col("id").startswith("S1-")).select(F.lit("self match").alias("issue"), F.col("id").alias("example")),
-        each.where(~F.col("id").rlike("^S[123]-")).select(F.lit("bad prefix").alias("issue"), F.col("id").alias("example")),
-    ]
+    the raw lines, for rows without a TAB.
+
+    One pass: a row gives what is wrong with itself, its id and the ids of its list, which are counted by kind and key before
+    the shuffle and meet the required and known ids there."""
+
+    def event(kind: str, key: Column, when: Column | None = None) -> Column:
+        made = F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+        return made if when is None else F.when(when, made)
+
+    ids, source = F.col("ids"), F.col("source1_entity_id")
+    own = F.array(event("row", source), event("duplicate id in a list", source, F.size(ids) != F.size(F.array_distinct(ids))))
+    each = F.transform(ids, lambda x: F.array(event("self match", x, x.startswith("S1-")), event("bad prefix", x, ~x.rlike("^S[123]-")), event("id", x, x.rlike("^S[23]-"))))
+    found = rows.select(F.explode(F.array_compact(F.concat(own, F.flatten(each)))).alias("e")).select("e.kind", "e.key")
     if lines is not None:
         bad = lines.where((F.instr("value", "\t") == 0) & (F.regexp_replace("value", r"\s", "") != ""))
-        found.append(bad.select(F.lit("no TAB").alias("issue"), F.col("value").alias("example")))
-    if required is not None:
-        need = required.select(F.col("entity_id").alias("source1_entity_id")).distinct()
-        found.append(need.join(rows, "source1_entity_id", "left_anti").select(F.lit("missing id").alias("issue"), F.col("source1_entity_id").alias("example")))
-        found.append(rows.join(need, "source1_entity_id", "left_anti").select(F.lit("unknown id").alias("issue"), F.col("source1_entity_id").alias("example")))
-    if known is not None:
-        ids = known.select(F.col("entity_id").alias("id")).distinct()
-        found.append(each.where(F.col("id").rlike("^S[23]-")).join(ids, "id", "left_anti").select(F.lit("id not in the sources").alias("issue"), F.col("id").alias("example")))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+        found = found.union(bad.select(F.lit("no TAB"), "value"))
+    counted = found.groupBy("kind", "key").agg(F.count("*").alias("n"))
+    for kind, wanted in (("row", required), ("id", known)):
+        there = F.lit(None).cast("boolean") if wanted is None else F.lit(True)
+        of = counted.limit(0).select("kind", "key") if wanted is None else wanted.select(F.lit(kind).alias("kind"), F.col("entity_id").alias("key")).distinct()
+        every = of.withColumn("there", there) if kind == "row" else every.union(of.withColumn("there", there))
+    met = counted.join(every, ["kind", "key"], "full_outer")
+    absent, row = F.col("there").isNull(), F.col("kind") == "row"
+    told = F.array(
+        F.when(row & (F.col("n") > 1), F.struct(F.lit("duplicate row").alias("issue"), F.lit(1).cast("long").alias("n"))),
+        F.when(row & F.col("n").isNull(), F.struct(F.lit("missing id").alias("issue"), F.lit(1).cast("long").alias("n"))),
+        *([] if required is None else [F.when(row & absent, F.struct(F.lit("unknown id").alias("issue"), F.col("n")))]),
+        *([] if known is None else [F.when((F.col("kind") == "id") & absent, F.struct(F.lit("id not in the sources").alias("issue"), F.col("n")))]),
+        F.when(~F.col("kind").isin("row", "id"), F.struct(F.col("kind").alias("issue"), F.col("n"))),
+    )
+    wrong = cut_lineage(met.select(F.explode(F.array_compact(told)).alias("e"), "key").select("e.issue", "e.n", F.col("key").alias("example")))
     # Examples are the first of the distinct ones, cut before they are gathered.
-    counts = every.groupBy("issue").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    first = every.distinct().withColumn("k", F.row_number().over(Window.partitionBy("issue").orderBy("example"))).where(F.col("k") <= EXAMPLES)
+    first = wrong.withColumn("k", F.row_number().over(Window.partitionBy("issue").orderBy("example"))).where(F.col("k") <= EXAMPLES)
     lists = first.groupBy("issue").agg(F.array_join(F.sort_array(F.collect_list("example")), ",").alias("examples"))
-    return counts.join(lists, "issue")
+    return wrong.groupBy("issue").agg(F.sum("n").alias("n")).join(lists, "issue")
 
 
 def outside_candidates(matches: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -123,3 +132,43 @@ def validate_files(spark: SparkSession, matching: str, candidates: str | None =
     if len(parts) == 2 and (n := outside_candidates(parts[MATCHING], parts[CANDIDATES]).count()):
         (report.errors if strict_subset else report.warnings).append(f"{n} rows have matches outside their candidates")
     return report
+
+
+def validate_lists(matching: DataFrame, candidates: DataFrame, required: DataFrame, known: DataFrame) -> list[str]:
+    """The stricter check of tables as read, in the order of the reference ids: numbers of rows and columns first; then what is
+    wrong with the first id that has anything wrong, of a repeated match, a repeated candidate, a match outside the candidates,
+    a candidate's prefix and a candidate that the sources don't have. An empty result means that all is right."""
+    errors, sides = [], []
+    n = required.count()
+    for rows, columns in ((matching, MATCHING), (candidates, CANDIDATES)):
+        if rows.count() != n:
+            errors.append(f"{columns[1]}: {rows.count()} rows, expected {n}")
+        if tuple(rows.columns) != columns:
+            errors.append(f"columns are {rows.columns}, expected {list(columns)}")
+            return errors
+        found = F.filter(F.transform(F.split(F.coalesce(columns[1], F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+        sides.append(rows.groupBy("source1_entity_id").agg(F.last(found).alias(columns[1])))
+    need = required if "row" in required.columns else required.withColumn("row", F.monotonically_increasing_id())
+    need = need.select(F.col("entity_id").alias("source1_entity_id"), "row")
+    both = need.join(sides[0], "source1_entity_id", "left").join(sides[1], "source1_entity_id", "left")
+    both = both.select("row", "source1_entity_id", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("matched_entity_ids", "candidate_entity_ids")))
+    m, c = F.col("matched_entity_ids"), F.col("candidate_entity_ids")
+
+    def fault(number: int, example: Column) -> Column:
+        return F.struct(F.lit(number).alias("rule"), example.alias("id"))
+
+    local = F.coalesce(
+        F.when(F.size(m) != F.size(F.array_distinct(m)), fault(0, F.lit(""))),
+        F.when(F.size(c) != F.size(F.array_distinct(c)), fault(1, F.lit(""))),
+        F.when(F.size(F.array_except(m, c)) > 0, fault(2, F.array_min(F.array_except(m, c)))),
+    )
+    each = both.select("row", "source1_entity_id", F.posexplode("candidate_entity_ids").alias("at", "id"))
+    absent = each.join(known.select(F.col("entity_id").alias("id")).distinct(), "id", "left_anti")
+    rule = F.when(F.col("id").rlike("^S[23]-"), 4).otherwise(3)
+    one = each.where(~F.col("id").rlike("^S[23]-")).union(absent.select(each.columns)).select("row", "source1_entity_id", rule.alias("rule"), "at", "id")
+    two = both.select("row", "source1_entity_id", local.alias("x")).where("x is not null").select("row", "source1_entity_id", "x.rule", F.lit(-1).alias("at"), "x.id")
+    first = two.union(one).agg(F.min(F.struct("row", "at", "rule", "source1_entity_id", "id")).alias("e")).first()["e"]
+    if first is not None:
+        words = ("duplicate ids in the matches", "duplicate ids in the candidates", "a match outside the candidates: {}", "a candidate without the prefix S2- or S3-: {}", "a candidate that the sources don't have: {}")
+        errors.append(f"{first['source1_entity_id']}: {words[first['rule']].format(first['id'])}")
+    return errors

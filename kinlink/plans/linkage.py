@@ -13,6 +13,7 @@ from ..operators import evaluate
 from ..operators.similarity import two_pass_top_k
 from ..operators.tfidf import TfIdf
 from ..operators.topk import accept, id_lists
+from ..session import cut_lineage
 from ..sources import tsv
 
 NORMALISERS = {
@@ -74,5 +75,5 @@ def link(reference: DataFrame, sources: list[DataFrame], config: Linkage = Linka
     pairs = two_pass_top_k(reference, sources, config.text(), config.gram_array, config.tfidf, config.k, config.floor, fit_on)
     if config.score_scale is not None:
         pairs = pairs.withColumn("similarity_score", F.round("similarity_score", config.score_scale))
-    pairs = pairs.persist()
+    pairs = cut_lineage(pairs)  # for the lists, the acceptance and the measures
     return Linked(reference, pairs, accept(pairs, config.tau))

@@ -87,6 +87,21 @@ def discover(roots: list[str], files: list[str]) -> str | None:
     return None
 
 
+def sizes(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """The bytes of files or folders by their paths; a missing one has -1."""
+    folders, conf, out = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), {}
+    for p in paths:
+        at = folders.Path(p)
+        files = at.getFileSystem(conf)
+        out[p] = files.getContentSummary(at).getLength() if files.exists(at) else -1
+    return out
+
+
+def countries(entities: DataFrame) -> DataFrame:
+    """The distinct countries (country) that records have; records without one have no part in it."""
+    return entities.where(F.col("country").isNotNull()).select("country").distinct()
+
+
 def write_lists(rows: DataFrame, path: str, order: str | None = None) -> None:
     """Two or three text columns as a table with a header; empty lists stay empty. Written by Spark's committer, so that a
     reader sees a complete folder or none; rows are range-sorted by `order` if given, or by a column row, which isn't written."""
