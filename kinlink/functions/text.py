@@ -78,6 +78,19 @@ def _script(text: str | None) -> str:
     return found.most_common(1)[0][0] if found else "NUMERIC/PUNCT_ONLY"
 
 
+def script_ranges(end: int = 0x3100) -> list[tuple[int, int, str]]:
+    """The letters below a code point as ranges (first, last, first word of their names): the rule as data, for other engines."""
+    out: list[tuple[int, int, str]] = []
+    for p in range(end):
+        if chr(p).isalpha():
+            name = unicodedata.name(chr(p), "UNKNOWN").split()[0]
+            if out and out[-1][1:] == (p - 1, name):
+                out[-1] = (out[-1][0], p, name)
+            else:
+                out.append((p, p, name))
+    return out
+
+
 @F.pandas_udf(StringType())
 def dominant_script(texts: pd.Series) -> pd.Series:
     """First word of the Unicode name that most letters have; ties go to the one seen first."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import keys as K
 from .functions.grams import char_wb, word_ngrams
 from .functions.scripts import fold_table, latin_table
-from .functions.text import norm_legal, norm_library, norm_production, norm_universal
+from .functions.text import norm_legal, norm_library, norm_production, norm_universal, script_ranges
 from .operators import dense, evaluate, profile, similarity, svd, tfidf, topk, validate
 from .operators.tfidf import TfIdf
 from .plans.linkage import Linkage, link
@@ -683,3 +683,15 @@ ORACLE_SQL["subpartition_topk_block_idf"] = (
     )
     + "SELECT e.country, source1_entity_id, candidate_entity_id, similarity_score, rank FROM top JOIN ent0 e ON e.id = source1_entity_id"
 )
+
+# The letters of each script below U+3100 as ranges; names in other scripts would count as without letters.
+ORACLE_SQL["script_profile"] = (
+    _with(
+        _DOC,
+        f"""scripts(a, b, script) AS (VALUES {", ".join(map(str, script_ranges()))}),
+letters AS (SELECT id, unicode(c) AS p, i FROM (SELECT id, unnest(x) AS c, unnest(range(len(x))) AS i FROM (SELECT id, regexp_extract_all(name, '(?s).') AS x FROM ent))),
+most AS (SELECT id, script FROM letters JOIN scripts ON p BETWEEN a AND b GROUP BY id, script QUALIFY row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(i)) = 1),
+told AS (SELECT CASE WHEN trim(coalesce(name, '')) = '' THEN 'EMPTY/UNKNOWN' ELSE coalesce(script, 'NUMERIC/PUNCT_ONLY') END AS script FROM ent LEFT JOIN most USING (id))""",
+    )
+    + "SELECT script, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM told GROUP BY script"
+)
