@@ -22,7 +22,8 @@ from __future__ import annotations
 import base64
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -279,6 +280,17 @@ def _encoded_keys(text: bytes) -> Iterator[tuple[str, int, int]]:
                 yield "der", found.start() + start, found.start() + done
 
 
+def _free(found: Iterable[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those found that overlap none of the taken, which don't overlap each other."""
+    ranges = sorted((a, b) for _, a, b in taken)
+    starts, out = [a for a, _ in ranges], []
+    for x in found:
+        i = bisect_right(starts, x[1])
+        if (not i or ranges[i - 1][1] <= x[1]) and (i == len(ranges) or ranges[i][0] >= x[2]):
+            out.append(x)
+    return out
+
+
 def spans(text: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then by kind."""
     out: list[tuple[str, int, int]] = []
@@ -292,12 +304,9 @@ def spans(text: bytes) -> list[tuple[str, int, int]]:
     if b"PRIVATE KEY" in text:
         more += [("pem", *m.span()) for m in _ARMOUR.finditer(text) if is_armoured(m[1], m[2])]
 
-    def free(start: int, end: int) -> bool:
-        return not any(a < end and start < b for _, a, b in more)
-
-    more += [x for x in list(_encoded_keys(text)) if free(x[1], x[2])]
+    more += _free(_encoded_keys(text), more)
     if b"." in text:
-        more += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_token(m[0].split(b".")) and free(*m.span())]
+        more += _free((("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_token(m[0].split(b"."))), more)
     out += more
     if out and not text.isascii():
         points = np.concatenate([[0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)])
