@@ -2,7 +2,6 @@ import os
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from kinlink.operators import progress, similarity
 from kinlink.sources import tsv
