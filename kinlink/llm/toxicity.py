@@ -271,8 +271,10 @@ class Model:
             found = words(text)
             counts = reader.counts(Counter(found))
             at, n = list(counts), list(counts.values())
-            out.append(float(self.weights[-1] + (self.weights[at] @ weight_of(n, len(found)) if at else 0.0)))
-        return sigmoid(np.array(out, dtype=float)).tolist()
+            # Exact sums and scalars: a text's score doesn't hang on where it stands in a batch.
+            logit = math.fsum([float(self.weights[-1]), *(self.weights[at] * weight_of(n, len(found))).tolist()])
+            out.append(1.0 / (1.0 + math.exp(-min(max(logit, -40.0), 40.0))))
+        return out
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
