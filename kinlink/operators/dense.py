@@ -256,10 +256,10 @@ def cell_top_k(queries: DataFrame, candidates: DataFrame, k: int = 30, probes: i
 
 def random_projection(postings: DataFrame, dimensions: int = 128, seed: int = 42) -> DataFrame:
     """(country, id, vector): unit postings projected to a few dimensions by signs of a hash of each gram, at length one."""
-    signs = F.array(*[F.when(F.xxhash64("gram", F.lit(seed * 1000 + j)) % 2 == 0, F.col("weight")).otherwise(-F.col("weight")) for j in range(dimensions)])
-    terms = postings.select("country", "id", F.posexplode(signs).alias("j", "x")).groupBy("country", "id", "j").agg(F.sum("x").alias("x"))
-    vectors = terms.groupBy("country", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda t: t["x"]).alias("vector"))
-    return vectors.withColumn("vector", unit(F.col("vector")))
+    weight = F.col("weight")
+    sums = [F.sum(F.when(F.xxhash64("gram", F.lit(seed * 1000 + j)) % 2 == 0, weight).otherwise(-weight)).alias(f"x{j}") for j in range(dimensions)]
+    vectors = postings.groupBy("country", "id").agg(*sums)  # a row for each record, not for each of its grams and dimensions
+    return vectors.select("country", "id", unit(F.array(*(f"x{j}" for j in range(dimensions)))).alias("vector"))
 
 
 def encode(texts: DataFrame, encoder, schema: str = "country string, id string, vector array<float>") -> DataFrame:

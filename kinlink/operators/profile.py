@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import by_shuffle
 from ..functions.text import dominant_script, without_repeats, word_tokens
 
 
@@ -40,12 +41,21 @@ def address_pairs(entities: DataFrame, truth: DataFrame) -> DataFrame:
     address = entities.select("entity_id", "business_address")
     a = address.select(F.col("entity_id").alias("source1_entity_id"), F.col("business_address").alias("address1"))
     b = address.select(F.col("entity_id").alias("candidate_entity_id"), F.col("business_address").alias("address2"))
-    return truth.join(a, "source1_entity_id").join(b, "candidate_entity_id")
+    return truth.join(by_shuffle(a), "source1_entity_id").join(by_shuffle(b), "candidate_entity_id")
+
+
+def group_address_pairs(entities: DataFrame) -> DataFrame:
+    """(address1, address2, n) of (group, asked, business_address): a pair is true if both sides, one of them asked, are of one
+    group. n pairs have these two addresses, so that no pair makes a row."""
+    sides = entities.groupBy("group", "asked", "business_address").agg(F.count("*").alias("n"))
+    a = sides.where("asked").select("group", F.col("business_address").alias("address1"), F.col("n").alias("n1"))
+    b = sides.where("not asked").select("group", F.col("business_address").alias("address2"), F.col("n").alias("n2"))
+    return a.join(by_shuffle(b), "group").groupBy("address1", "address2").agg(F.sum(F.col("n1") * F.col("n2")).alias("n"))
 
 
 def token_changes(pairs: DataFrame) -> DataFrame:
     """For each pair of addresses: the share of either side's tokens that the other lacks, and whether the common tokens come in
-    another order. Pairs with an empty side are left out."""
+    another order. Pairs with an empty side are left out. A column n, which says how many pairs a row stands for, is kept."""
     one, two = word_tokens(F.col("address1")), word_tokens(F.col("address2"))
     rows = pairs.withColumn("t1", one).withColumn("t2", two).where((F.size("t1") > 0) & (F.size("t2") > 0))
     rows = rows.withColumn("common", F.array_intersect("t1", "t2"))
@@ -55,8 +65,7 @@ def token_changes(pairs: DataFrame) -> DataFrame:
         return without_repeats(F.filter(t, lambda x: F.array_contains("common", x)))
 
     return rows.select(
-        "source1_entity_id",
-        "candidate_entity_id",
+        *(c for c in ("source1_entity_id", "candidate_entity_id", "n") if c in pairs.columns),
         (1 - n / F.size(F.array_distinct("t1"))).alias("omitted1"),
         (1 - n / F.size(F.array_distinct("t2"))).alias("omitted2"),
         (order("t1") != order("t2")).alias("reordered"),
@@ -65,11 +74,16 @@ def token_changes(pairs: DataFrame) -> DataFrame:
 
 def token_change_rates(pairs: DataFrame) -> DataFrame:
     changes = token_changes(pairs)
+    n = F.col("n") if "n" in pairs.columns else F.lit(1).cast("long")
+
+    def mean(c: Column) -> Column:
+        return F.sum(c * n) / F.sum(n)
+
     return changes.agg(
-        F.count("*").alias("pairs"),
-        F.avg("omitted1").alias("omission1"),
-        F.avg("omitted2").alias("omission2"),
-        F.avg(F.col("reordered").cast("double")).alias("reorder_rate"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("pairs"),
+        mean(F.col("omitted1")).alias("omission1"),
+        mean(F.col("omitted2")).alias("omission2"),
+        mean(F.col("reordered").cast("double")).alias("reorder_rate"),
     )
 
 
@@ -97,7 +111,7 @@ def key_retention(truth: DataFrame, keys: DataFrame) -> DataFrame:
     a = keys.select(F.col("id").alias("source1_entity_id"), "strategy", F.col("key").alias("k1"))
     b = keys.select(F.col("id").alias("candidate_entity_id"), "strategy", F.col("key").alias("k2"))
     hit = (F.col("k1") == F.col("k2")) & (F.col("k1") != "")
-    rows = truth.join(a, "source1_entity_id").join(b, ["candidate_entity_id", "strategy"])
+    rows = truth.join(by_shuffle(a), "source1_entity_id").join(by_shuffle(b), ["candidate_entity_id", "strategy"])
     return rows.groupBy("strategy").agg(F.count("*").alias("pairs"), F.sum(hit.cast("long")).alias("kept")).withColumn("retention", F.col("kept") / F.col("pairs"))
 
 
@@ -105,11 +119,35 @@ def set_retention(truth: DataFrame, sets: DataFrame) -> DataFrame:
     """Of (id, scheme, keys): the share of true pairs that share any key, for each scheme."""
     a = sets.select(F.col("id").alias("source1_entity_id"), "scheme", F.col("keys").alias("k1"))
     b = sets.select(F.col("id").alias("candidate_entity_id"), "scheme", F.col("keys").alias("k2"))
-    rows = truth.join(a, "source1_entity_id").join(b, ["candidate_entity_id", "scheme"])
+    rows = truth.join(by_shuffle(a), "source1_entity_id").join(by_shuffle(b), ["candidate_entity_id", "scheme"])
     kept = F.sum(F.arrays_overlap("k1", "k2").cast("long"))
     return rows.groupBy("scheme").agg(F.count("*").alias("pairs"), kept.alias("kept")).withColumn("retention", F.col("kept") / F.col("pairs"))
 
 
+def group_key_retention(keys: DataFrame) -> DataFrame:
+    """key_retention() of (group, asked, strategy, key): a pair is true if both sides, one of them asked, are of one group. Pairs
+    are counted by products of the sides' numbers and never made."""
+    asked = F.col("asked").cast("long")
+    each = keys.groupBy("group", "strategy", "key").agg(F.sum(asked).alias("a"), F.sum(1 - asked).alias("b"))
+    kept = F.sum(F.when(F.col("key") != "", F.col("a") * F.col("b")).otherwise(0))
+    sums = each.groupBy("group", "strategy").agg((F.sum("a") * F.sum("b")).alias("pairs"), kept.alias("kept")).where("pairs > 0")
+    rows = sums.groupBy("strategy").agg(F.sum("pairs").alias("pairs"), F.sum("kept").alias("kept"))
+    return rows.withColumn("retention", F.col("kept") / F.col("pairs"))
+
+
+def group_set_retention(sets: DataFrame) -> DataFrame:
+    """set_retention() of (group, asked, scheme, keys): each two sets that a group has are compared once, for all its pairs with
+    these sets."""
+    asked = F.col("asked").cast("long")
+    each = sets.groupBy("group", "scheme", "keys").agg(F.sum(asked).alias("a"), F.sum(1 - asked).alias("b"))
+    a = each.where("a > 0").select("group", "scheme", F.col("keys").alias("k1"), "a")
+    b = each.where("b > 0").select("group", "scheme", F.col("keys").alias("k2"), "b")
+    n = F.col("a") * F.col("b")
+    kept = F.sum(F.when(F.arrays_overlap("k1", "k2"), n).otherwise(0))
+    rows = a.join(by_shuffle(b), ["group", "scheme"]).groupBy("scheme").agg(F.sum(n).alias("pairs"), kept.alias("kept"))
+    return rows.withColumn("retention", F.col("kept") / F.col("pairs"))
+
+
 def stratified_sample(entities: DataFrame, per_country: int, seed: int = 7) -> DataFrame:
     """At most so many records of each country, the first by a hash of the id."""
     order = Window.partitionBy("country").orderBy(F.xxhash64("entity_id", F.lit(seed)), "entity_id")

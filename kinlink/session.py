@@ -27,3 +27,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """For a join with a table that grows with the input: both sides are shuffled. Spark's estimates go by the size of the files
+    and know nothing of what explode() or a checkpoint made of them, so it may send such a table through the driver."""
+    return df.hint("merge")
