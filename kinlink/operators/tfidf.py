@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import by_shuffle, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,11 @@ class TfIdf:
     fit_sample: int | None = None
 
 
+#: Tells texts apart: what it makes of equal texts is equal.
+def text_id(text: str = "text") -> Column:
+    return F.md5(text)
+
+
 def term_frequencies(texts: DataFrame, grams: Column) -> DataFrame:
     """(country, id, gram, tf) from (country, id, ...). The texts are dealt by record, so that their grams need no shuffle."""
     return texts.repartition("country", "id").select("country", "id", F.explode(grams).alias("gram")).groupBy("country", "id", "gram").agg(F.count("*").alias("tf"))
@@ -36,8 +41,9 @@ def sampled(texts: DataFrame, per_country: int, seed: int = 42, by: Column | Non
 
 def vocabulary(tf: DataFrame, sizes: DataFrame, config: TfIdf = TfIdf()) -> DataFrame:
     """(country, gram, df, cf, idf); sizes has (country, n) with the number of records that tf was counted over, among them
-    those without any gram."""
-    found = tf.groupBy("country", "gram").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    those without any gram. A column copies of tf says for how many records a row stands."""
+    copies = F.col("copies") if "copies" in tf.columns else F.lit(1)
+    found = tf.groupBy("country", "gram").agg(F.sum(copies).cast("long").alias("df"), F.sum(F.col("tf") * copies).cast("long").alias("cf"))
     found = found.join(sizes, "country")
     found = found.where((F.col("df") >= config.min_df) & (F.col("df") <= config.max_df * F.col("n")))
     if config.max_features is not None:
@@ -49,7 +55,7 @@ def vocabulary(tf: DataFrame, sizes: DataFrame, config: TfIdf = TfIdf()) -> Data
 def unit_postings(tf: DataFrame, vocab: DataFrame, config: TfIdf = TfIdf()) -> DataFrame:
     """(country, id, gram, weight) of unit length for each record; grams outside the vocabulary are dropped."""
     weight = (1 + F.log("tf") if config.sublinear_tf else F.col("tf")) * F.col("idf")
-    raw = tf.join(vocab.select("country", "gram", "idf"), ["country", "gram"]).withColumn("w", weight)
+    raw = tf.join(by_shuffle(vocab.select("country", "gram", "idf")), ["country", "gram"]).withColumn("w", weight)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("country", "id")))
     return raw.select("country", "id", "gram", (F.col("w") / norm).alias("weight"))
 
@@ -75,19 +81,44 @@ def fit_transform(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_
     return vocab, unit_postings(tf, vocab, config)
 
 
-def fit_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_on: Column | None = None) -> DataFrame:
-    """(country, id, vector) with the unit vector of a record as one array of (gram, weight). Grams are 64-bit hashes: two of a
-    million grams fall together with a probability of 3 in 100 million. Counts are gathered by record where its text is, are
-    written once, and are at unit length within their array, so only the vocabulary and the finished arrays are shuffled."""
-    tf = term_frequencies(texts, grams)
+def text_postings(texts: DataFrame, grams: Column, config: TfIdf = TfIdf()) -> tuple[DataFrame, DataFrame]:
+    """(records with the text_id of their text, unit postings of each distinct text of a country by its text_id as id); the
+    vocabulary is that of all records."""
+    rows = texts.withColumn("text_id", text_id())
+    distinct = rows.groupBy("country", "text_id").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    tf = distinct.select("country", F.col("text_id").alias("id"), "copies", F.explode(grams).alias("gram")).groupBy("country", "id", "copies", "gram").agg(F.count("*").alias("tf"))
+    return rows.select("country", "id", "text_id"), unit_postings(tf, vocabulary(tf, sizes_of(texts), config), config)
+
+
+def text_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_on: Column | None = None) -> DataFrame:
+    """(country, text_id, vector) with the unit vector of each distinct text of a country as one array of (gram, weight). A text
+    counts in the vocabulary as often as records have it, but its grams are made and kept once. Grams are 64-bit hashes: two of a
+    million grams fall together with a probability of 3 in 100 million. Counts are gathered by text, are written once, and are at
+    unit length within their array, so only the vocabulary and the finished arrays are shuffled."""
+    rows = texts.withColumn("text_id", text_id())
+    chosen = F.lit(True) if fit_on is None else fit_on
+    distinct = rows.groupBy("country", "text_id").agg(F.first("text").alias("text"), F.count_if(chosen).alias("copies"))
+    fitting = texts if fit_on is None else texts.where(fit_on)
+    if config.fit_sample is not None:
+        fitting = sampled(fitting, config.fit_sample)
+        copies = fitting.select("country", text_id().alias("text_id")).groupBy("country", "text_id").agg(F.count("*").alias("copies"))
+        distinct = distinct.drop("copies").join(by_shuffle(copies), ["country", "text_id"], "left").na.fill(0, ["copies"])
+    tf = distinct.select("country", "text_id", "copies", F.explode(grams).alias("gram")).groupBy("country", "text_id", "copies", "gram").agg(F.count("*").alias("tf"))
     if config.max_features is None:  # else ties of counts go by the gram itself
         tf = tf.withColumn("gram", F.xxhash64("gram"))
-    records = cut_lineage(tf.groupBy("country", "id").agg(F.collect_list(F.struct("gram", "tf")).alias("terms")))
-    tf = records.select("country", "id", F.explode("terms").alias("t")).select("country", "id", "t.gram", "t.tf")
+    kept = cut_lineage(tf.groupBy("country", "text_id", "copies").agg(F.collect_list(F.struct("gram", "tf")).alias("terms")))
+    tf = kept.select("country", "text_id", "copies", F.explode("terms").alias("t")).select("country", "text_id", "copies", "t.gram", "t.tf")
+    vocab = vocabulary(tf.where("copies > 0"), sizes_of(fitting), config)
     weight = (1 + F.log("tf") if config.sublinear_tf else F.col("tf")) * F.col("idf")
     gram = F.col("gram") if config.max_features is None else F.xxhash64("gram")
-    known = tf.join(_fitted(tf, texts, config, fit_on).select("country", "gram", "idf"), ["country", "gram"])
-    found = known.select("country", "id", F.struct(gram.alias("gram"), weight.alias("weight")).alias("x")).groupBy("country", "id").agg(F.collect_list("x").alias("v"))
+    known = tf.join(by_shuffle(vocab.select("country", "gram", "idf")), ["country", "gram"])
+    found = known.select("country", "text_id", F.struct(gram.alias("gram"), weight.alias("weight")).alias("x")).groupBy("country", "text_id").agg(F.collect_list("x").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
     unit = F.transform("v", lambda x: F.struct(x["gram"].alias("gram"), (x["weight"] / F.col("norm")).alias("weight")))
-    return cut_lineage(found.withColumn("norm", norm).select("country", "id", unit.alias("vector")))
+    return cut_lineage(found.withColumn("norm", norm).select("country", "text_id", unit.alias("vector")))
+
+
+def fit_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_on: Column | None = None) -> DataFrame:
+    """(country, id, vector): text_vectors() for each record."""
+    rows = texts.select("country", "id", text_id().alias("text_id"))
+    return rows.join(by_shuffle(text_vectors(texts, grams, config, fit_on)), ["country", "text_id"]).select("country", "id", "vector")

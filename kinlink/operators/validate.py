@@ -163,7 +163,7 @@ def validate_lists(matching: DataFrame, candidates: DataFrame, required: DataFra
         F.when(F.size(F.array_except(m, c)) > 0, fault(2, F.array_min(F.array_except(m, c)))),
     )
     each = both.select("row", "source1_entity_id", F.posexplode("candidate_entity_ids").alias("at", "id"))
-    absent = each.join(known.select(F.col("entity_id").alias("id")).distinct(), "id", "left_anti")
+    absent = each.join(by_shuffle(known.select(F.col("entity_id").alias("id")).distinct()), "id", "left_anti")
     rule = F.when(F.col("id").rlike("^S[23]-"), 4).otherwise(3)
     one = each.where(~F.col("id").rlike("^S[23]-")).union(absent.select(each.columns)).select("row", "source1_entity_id", rule.alias("rule"), "at", "id")
     two = both.select("row", "source1_entity_id", local.alias("x")).where("x is not null").select("row", "source1_entity_id", "x.rule", F.lit(-1).alias("at"), "x.id")
