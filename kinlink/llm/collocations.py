@@ -1,8 +1,9 @@
 """Collocations: phrases whose parts stand together more often than alone, the best of each language.
 
-Two passes over the texts. The first explodes all grams of one to max_n words into rows (hash, count), counted within a task
-before, and adds them up by hash; a hash keeps 48 bits of a gram's language and words, so grams that share one only add to each
-other and no frequent gram is lost. The second explodes the grams again, keeps those whose hash is frequent, and adds them up by
+Two passes over the texts. The first explodes all grams of one to max_n words into hashes with counts, counted within a task
+before, and adds them up by hash; a hash keeps 46 bits of a gram's language and words, so grams that share one only add to each
+other and no frequent gram is lost. On their way the hashes of a task that share their 14 high bits are one row, with an array of
+the other 32 bits, so a hash takes about four bytes and not a row; they are exploded again where they are added up. The second explodes the grams again, keeps those whose hash is frequent, and adds them up by
 language and words; what only shared a hash goes then, so counts are exact. The hashes are sent to the tasks as an array where
 they are at most SENT, which is counted before; beyond it they are joined.
 
@@ -35,7 +36,11 @@ COVERED = 80
 #: Phrases of each language.
 BEST = 2000
 #: Bits of a hash that tells grams apart in the first pass.
-_BITS = np.uint64(48)
+_BITS = np.uint64(46)
+#: Of these, the bits that are kept once for all hashes of a row.
+_LOW = np.uint64(32)
+#: Bytes of text for each task that adds up hashes, which holds those of about so much text.
+_TASK_BYTES = 6 << 20
 #: Frequent hashes that are sent to the tasks at most: 32 MB.
 SENT = 1 << 22
 #: Words of a task that are counted together in the first pass and in the second, and different words that it remembers.
@@ -113,18 +118,39 @@ def _texts(batches, grams: Grams, held: int) -> Iterator[None]:
 
 
 def gram_hashes(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
-    """(hash, n) for the grams of a task's texts, each hash once for some millions of words."""
+    """(bucket, low, counts) for the grams of a task's texts, each hash once for some millions of words: bucket has the high bits
+    of the hashes and low the others, as signed numbers; the last have counts, those before occur once."""
     small_batches(docs.sparkSession)
+    schema = pa.schema([("bucket", pa.int32()), ("low", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+
+    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
     def run(batches):
         grams = Grams(max_n)
         for _ in _texts(batches, grams, _HELD):
             for _, _, found in grams.hashed():
                 hashes, n = np.unique(found >> (np.uint64(64) - _BITS), return_counts=True)
-                for k in range(0, len(hashes), _ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[k : k + _ROWS].astype(np.int64)), pa.array(n[k : k + _ROWS])], names=["hash", "n"])
+                high = (hashes >> _LOW).astype(np.int32)
+                order = np.argsort((high << 1 | (n > 1)).astype(np.uint16), kind="stable")
+                hashes, n, high = hashes[order], n[order], high[order]
+                for k in range(0, len(hashes), 1 << 20):
+                    part, times = high[k : k + (1 << 20)], n[k : k + (1 << 20)]
+                    starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
+                    low = lists(hashes[k : k + (1 << 20)].astype(np.uint32).view(np.int32), np.diff([*starts, len(part)]))
+                    counts = lists(times[times > 1], np.add.reduceat(times > 1, starts, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[starts]), low, counts], schema=schema)
+
+    return _by_language(docs).mapInArrow(run, "bucket int, low array<int>, counts array<int>")
+
 
-    return _by_language(docs).mapInArrow(run, "hash long, n long")
+def frequent_hashes(rows: DataFrame, parts: int, least: int) -> DataFrame:
+    """(hash) of the hashes of gram_hashes() that occur `least` times."""
+    once = F.size("low") - F.size("counts")
+    each = rows.repartition(parts, "bucket").select("bucket", once.alias("once"), "counts", F.posexplode("low").alias("at", "low"))
+    n = F.when(F.col("at") < F.col("once"), F.lit(1)).otherwise(F.get("counts", F.col("at") - F.col("once")))
+    found = each.select("bucket", "low", n.cast("long").alias("n")).groupBy("bucket", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return found.select((F.shiftleft(F.col("bucket").cast("long"), 32) + F.pmod(F.col("low").cast("long"), F.lit(1 << 32))).alias("hash"))
 
 
 def _by_language(docs: DataFrame) -> DataFrame:
@@ -180,10 +206,9 @@ def _kept_grams(docs: DataFrame, max_n: int, kept: np.ndarray | None) -> DataFra
 
 def frequent_grams(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, sent: int = SENT) -> DataFrame:
     """(lang, words, phrase, n): all grams of docs (lang, text) of one to max_n words that occur `least` times in a language."""
-    rows = gram_hashes(docs, max_n)
-    # A task of the aggregation holds the hashes of about one task of the texts.
-    parts = max(rows.rdd.getNumPartitions() * max_n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hashes = cut_lineage(rows.repartition(parts, "hash").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(-(-size // _TASK_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hashes = cut_lineage(frequent_hashes(gram_hashes(docs, max_n), parts, least))
     if hashes.count() <= sent:
         kept = np.sort(hashes.toArrow().column(0).to_numpy()).astype(np.uint64)
         found = _kept_grams(docs, max_n, kept) if len(kept) else _kept_grams(docs.limit(0), max_n, None)

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from kinlink.llm import collocations
@@ -82,3 +83,20 @@ def test_scores_beyond_64_bits(spark):
 def test_empty_tables(spark):
     for docs in ([], [(None, None)], [("en", "one two")]):
         assert collocations.collocations(spark.createDataFrame(docs, "lang string, text string")).count() == 0
+
+
+def test_hashes_travel_as_arrays(spark):
+    """A shuffled row has all hashes of a task that share their high bits, and what they add up to is what rows would."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefgh") * r.randrange(1, 4) for _ in range(200)) for _ in range(20)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(2)
+    rows = collocations.gram_hashes(docs)
+    assert rows.columns == ["bucket", "low", "counts"] and all(len(x.low) >= len(x.counts) > -1 for x in rows.collect())
+    grams = collocations.Grams(4)
+    for t in texts:
+        grams.add("en", t.encode())
+    every = np.concatenate([found for _, _, found in grams.hashed()]) >> np.uint64(18)
+    hashes, n = np.unique(every, return_counts=True)
+    for least in (1, 2, 30):
+        got = sorted(x.hash for x in collocations.frequent_hashes(rows, 5, least).collect())
+        assert got == hashes[n >= least].tolist()
