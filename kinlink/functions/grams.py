@@ -30,10 +30,12 @@ def char_wb(text: Column, shortest: int, longest: int) -> Column:
 
 
 def word_ngrams(text: Column, shortest: int = 1, longest: int = 2) -> Column:
-    """Word n-grams over words of two letters or more, joined by a blank."""
+    """Word n-grams over words of two letters or more, joined by a blank. Words are taken by their place: slice() copies the whole
+    array at each call, so time would grow with the square of a text's words."""
+
     def of(words: Column) -> Column:
         def runs(n: int) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", *(F.get(words, i + (j - 1)) for j in range(n))))
 
         none = F.array().cast("array<string>")
         return F.concat(*(words if n == 1 else F.when(F.size(words) >= n, runs(n)).otherwise(none) for n in range(shortest, longest + 1)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import by_shuffle, cut_lineage
+from .counts import counted, frequencies, unit_arrays
 
 
 @dataclass(frozen=True)
@@ -93,8 +94,8 @@ def text_postings(texts: DataFrame, grams: Column, config: TfIdf = TfIdf()) -> t
 def text_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_on: Column | None = None) -> DataFrame:
     """(country, text_id, vector) with the unit vector of each distinct text of a country as one array of (gram, weight). A text
     counts in the vocabulary as often as records have it, but its grams are made and kept once. Grams are 64-bit hashes: two of a
-    million grams fall together with a probability of 3 in 100 million. Counts are gathered by text, are written once, and are at
-    unit length within their array, so only the vocabulary and the finished arrays are shuffled."""
+    million grams fall together with a probability of 3 in 100 million. Counts are arrays by text, are written once, and meet the
+    vocabulary by chunks of texts (counts.py), so no row is made for a gram of a text."""
     rows = texts.withColumn("text_id", text_id())
     chosen = F.lit(True) if fit_on is None else fit_on
     distinct = rows.groupBy("country", "text_id").agg(F.first("text").alias("text"), F.count_if(chosen).alias("copies"))
@@ -103,16 +104,17 @@ def text_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_o
         fitting = sampled(fitting, config.fit_sample)
         copies = fitting.select("country", text_id().alias("text_id")).groupBy("country", "text_id").agg(F.count("*").alias("copies"))
         distinct = distinct.drop("copies").join(by_shuffle(copies), ["country", "text_id"], "left").na.fill(0, ["copies"])
-    tf = distinct.select("country", "text_id", "copies", F.explode(grams).alias("gram")).groupBy("country", "text_id", "copies", "gram").agg(F.count("*").alias("tf"))
     if config.max_features is None:  # else ties of counts go by the gram itself
-        tf = tf.withColumn("gram", F.xxhash64("gram"))
+        kept = cut_lineage(counted(distinct, "text_id", grams))
+        found = frequencies(kept, sizes_of(fitting), config.min_df, config.max_df)
+        return cut_lineage(unit_arrays(kept, found, "text_id", config.sublinear_tf))
+    tf = distinct.select("country", "text_id", "copies", F.explode(grams).alias("gram")).groupBy("country", "text_id", "copies", "gram").agg(F.count("*").alias("tf"))
     kept = cut_lineage(tf.groupBy("country", "text_id", "copies").agg(F.collect_list(F.struct("gram", "tf")).alias("terms")))
     tf = kept.select("country", "text_id", "copies", F.explode("terms").alias("t")).select("country", "text_id", "copies", "t.gram", "t.tf")
     vocab = vocabulary(tf.where("copies > 0"), sizes_of(fitting), config)
     weight = (1 + F.log("tf") if config.sublinear_tf else F.col("tf")) * F.col("idf")
-    gram = F.col("gram") if config.max_features is None else F.xxhash64("gram")
     known = tf.join(by_shuffle(vocab.select("country", "gram", "idf")), ["country", "gram"])
-    found = known.select("country", "text_id", F.struct(gram.alias("gram"), weight.alias("weight")).alias("x")).groupBy("country", "text_id").agg(F.collect_list("x").alias("v"))
+    found = known.select("country", "text_id", F.struct(F.xxhash64("gram").alias("gram"), weight.alias("weight")).alias("x")).groupBy("country", "text_id").agg(F.collect_list("x").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
     unit = F.transform("v", lambda x: F.struct(x["gram"].alias("gram"), (x["weight"] / F.col("norm")).alias("weight")))
     return cut_lineage(found.withColumn("norm", norm).select("country", "text_id", unit.alias("vector")))
