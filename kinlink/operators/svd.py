@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import by_shuffle, cut_lineage
 from .dense import unit
 
 #: Records, or grams, of one block on average.
@@ -36,14 +36,15 @@ def _placed(keys: DataFrame, columns: list[str], name: str, sides: int) -> DataF
     return rows.withColumn(f"{name}_size", F.count("*").over(own).cast("int"))
 
 
-def _blocks(postings: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records with their places, blocks of the matrix)."""
+def _blocks(postings: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(records with their places, blocks of the matrix, into how many the records are dealt)."""
     known = postings.join(features, "gram")
     ids = cut_lineage(known.select("country", "id").distinct())
-    rows = cut_lineage(_placed(ids, ["country", "id"], "block", max(1, -(-ids.count() // SIDE))))
+    sides = max(1, -(-ids.count() // SIDE))
+    rows = cut_lineage(_placed(ids, ["country", "id"], "block", sides))
     entry = F.struct("block_at", "chunk_at", "weight")
-    blocks = known.join(rows, ["country", "id"]).groupBy("block", "block_size", "chunk", "chunk_size").agg(F.collect_list(entry).alias("entries"))
-    return rows, cut_lineage(blocks)
+    blocks = known.join(by_shuffle(rows), ["country", "id"]).groupBy("block", "block_size", "chunk", "chunk_size").agg(F.collect_list(entry).alias("entries"))
+    return rows, cut_lineage(blocks), sides
 
 
 def _matrix(data: pa.Scalar | bytes, width: int) -> np.ndarray:
@@ -69,8 +70,9 @@ def _added(rows: DataFrame, key: str, width: int) -> DataFrame:
     return rows.select(key, "matrix").repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} int, matrix binary")
 
 
-def _times(blocks: DataFrame, thin: DataFrame, key: str, out: str, width: int) -> DataFrame:
-    """The product of the matrix (key chunk) or of its transpose (key block) with a thin one (key, matrix), by the other key."""
+def _times(blocks: DataFrame, thin: DataFrame, key: str, out: str, width: int, pieces: int) -> DataFrame:
+    """The product of the matrix (key chunk) or of its transpose (key block) with a thin one (key, matrix) of so many pieces, by
+    the other key."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -99,7 +101,12 @@ def _times(blocks: DataFrame, thin: DataFrame, key: str, out: str, width: int) -
                         sums[k][at : at + _ROWS] += piece @ thin_part
         yield from flushed()
 
-    met = blocks.join(thin, key).select(out, f"{out}_size", f"{key}_size", "entries", "matrix")
+    # A thin matrix grows with the table, and Spark's estimates know nothing of what mapInArrow() made, so it is never sent
+    # through the driver. Where it has few pieces, each goes to several lanes, as very many blocks share it.
+    lanes = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // pieces)
+    dealt = blocks.withColumn("lane", F.pmod(F.xxhash64(out), F.lit(lanes)).cast("int"))
+    copies = thin.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    met = dealt.join(by_shuffle(copies), [key, "lane"]).select(out, f"{out}_size", f"{key}_size", "entries", "matrix")
     return _added(met.mapInArrow(run, f"{out} int, matrix binary"), out, width)
 
 
@@ -153,8 +160,9 @@ class Decomposition:
 
     def transform(self, postings: DataFrame, unit_length: bool = True) -> DataFrame:
         """(country, id, vector) for the records of postings (country, id, gram, weight), of any table."""
-        rows, blocks = _blocks(postings, self.features)
-        return self.vectors(rows, _times(blocks, self.right, "chunk", "block", self.components), unit_length)
+        rows, blocks, _ = _blocks(postings, self.features)
+        chunks = max(1, self.features.select("chunk").distinct().count())
+        return self.vectors(rows, _times(blocks, self.right, "chunk", "block", self.components, chunks), unit_length)
 
     def vectors(self, rows: DataFrame, thin: DataFrame, unit_length: bool = True) -> DataFrame:
         width = self.components
@@ -168,15 +176,16 @@ class Decomposition:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, dtype=np.int32)), at, flat], names=["block", "block_at", "vector"])
 
         told = thin.select("block", "matrix").mapInArrow(run, "block int, block_at int, vector array<double>")
-        found = rows.join(told, ["block", "block_at"]).select("country", "id", "vector")
+        found = rows.join(by_shuffle(told), ["block", "block_at"]).select("country", "id", "vector")
         return found.withColumn("vector", unit(F.col("vector"))) if unit_length else found
 
 
 def truncated_svd(postings: DataFrame, components: int = 128, iterations: int = 6, oversample: int = 32, seed: int = 42) -> Decomposition:
     """Fits on postings (country, id, gram, weight); a sample of the records fits as well, and transform() takes all."""
     grams = cut_lineage(postings.select("gram").distinct())
-    features = cut_lineage(_placed(grams, ["gram"], "chunk", max(1, -(-grams.count() // SIDE))))
-    rows, blocks = _blocks(postings, features)
+    chunks = max(1, -(-grams.count() // SIDE))
+    features = cut_lineage(_placed(grams, ["gram"], "chunk", chunks))
+    rows, blocks, sides = _blocks(postings, features)
     width = components + oversample
 
     def start(batches):
@@ -186,12 +195,12 @@ def truncated_svd(postings: DataFrame, components: int = 128, iterations: int =
 
     right = features.select("chunk", "chunk_size").distinct().mapInArrow(start, "chunk int, matrix binary")
     for _ in range(iterations):
-        back = cut_lineage(_times(blocks, _times(blocks, right, "chunk", "block", width), "block", "chunk", width))
+        back = cut_lineage(_times(blocks, _times(blocks, right, "chunk", "block", width, chunks), "block", "chunk", width, sides))
         by = _whitening(_gram(back, width)[:-1, :-1])
         right, width = _turned(back, "chunk", by), by.shape[1]
         if not width:
             return Decomposition(features, right, np.zeros(0), np.zeros(0))
-    left = cut_lineage(_times(blocks, right, "chunk", "block", width))
+    left = cut_lineage(_times(blocks, right, "chunk", "block", width, chunks))
     gram = _gram(left, width)
     n, sums = gram[-1, -1], gram[-1, :-1]
     values, turn = np.linalg.eigh(gram[:-1, :-1])

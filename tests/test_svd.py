@@ -77,3 +77,22 @@ def test_128_dimensions_of_the_parts(spark):
     mine = np.stack([got[i] for i in ids])
     unit = t / np.linalg.norm(t, axis=1, keepdims=True)
     assert np.abs(mine @ mine.T - unit @ unit.T).max() < 1e-3
+
+
+def test_thin_matrices_are_not_sent_through_the_driver(spark):
+    """Pieces of some MB each look like rows of some bytes to Spark's estimates."""
+    x = matrix(60, 40)
+    met, real = [], svd._added
+    postings = spark.createDataFrame(rows_of(x), SCHEMA)
+
+    def kept(rows, *rest):
+        met.append(rows._jdf.queryExecution().sparkPlan().toString())
+        return real(rows, *rest)
+
+    svd._added = kept
+    try:
+        found = svd.truncated_svd(postings, 5, iterations=1).transform(postings)
+    finally:
+        svd._added = real
+    plans = [p for p in met if "Join" in p] + [found._jdf.queryExecution().sparkPlan().toString()]
+    assert len(plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)
