@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 #: Grams of texts in a chunk, at least until the batch ends in which so many are met.
 CHUNK = 1 << 21
-_LONGS, _BITS = pa.list_(pa.int64()), 56
+_BITS = 56
+_ASKED = "country string, bucket int, chunk long, gram array<long>, df array<long>, cf array<long>"
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
@@ -101,9 +102,14 @@ def _asked(batches):
         yield from over()
 
 
-def frequencies(kept: DataFrame, sizes: DataFrame, min_df: int, max_df: float, once: bool = False) -> DataFrame:
-    """(chunk, country, gram, df, cf, n): what the vocabulary keeps of the grams of each chunk of counted(), or if once, each gram
-    for one of the chunks alone. sizes has (country, n); the frequencies of a gram are the sums over all chunks."""
+def asked(kept: DataFrame) -> DataFrame:
+    """The distinct grams of each chunk of counted(), for frequencies()."""
+    return kept.mapInArrow(_asked, _ASKED)
+
+
+def frequencies(asked: DataFrame, sizes: DataFrame, min_df: int, max_df: float, once: bool = False) -> DataFrame:
+    """(chunk, country, gram, df, cf, n): what the vocabulary keeps of the grams of each chunk, or if once, each gram for one of
+    the chunks alone. sizes has (country, n); the frequencies of a gram are the sums over all chunks."""
 
     def run(batches):
         key, held = None, []
@@ -138,7 +144,6 @@ def frequencies(kept: DataFrame, sizes: DataFrame, min_df: int, max_df: float, o
         if held:
             yield from over()
 
-    asked = kept.mapInArrow(_asked, "country string, bucket int, chunk long, gram array<long>, df array<long>, cf array<long>")
     rows = asked.join(F.broadcast(sizes), "country").repartition("country", "bucket").sortWithinPartitions("country", "bucket")
     return rows.mapInArrow(run, "chunk long, country string, gram array<long>, df array<long>, cf array<long>, n long").where(F.size("gram") > 0)
 
@@ -188,3 +193,101 @@ def unit_arrays(kept: DataFrame, found: DataFrame, name: str, sublinear: bool) -
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(full)) for c in ("country", name)), vector], names=["country", name, "vector"])
 
     return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "country").mapInArrow(run, f"country string, {name} string, vector array<struct<gram:bigint,weight:double>>")
+
+
+#: Records of a chunk of gram_vocabulary(), on average.
+RECORDS = 8192
+
+
+def _summed(batches):
+    """The rows of _asked() of rows (chunk, country, id, gram) sorted by these, with grams as often as a record has them; rows of
+    one id are one record."""
+    chunk, held, record, last = None, [], 0, None
+
+    def over():
+        gram, country, row = (np.concatenate(x) for x in zip(*held, strict=True))
+        names = sorted(set(country.tolist()))
+        code = np.searchsorted(np.array(names, dtype=object), country)
+        order = np.lexsort((row, gram, code))
+        gram, code, row = gram[order], code[order], row[order]
+        first = _starts(code, gram)
+        if not len(first):
+            return
+        new = np.zeros(len(gram), dtype=np.int64)
+        new[_starts(code, gram, row)] = 1
+        df, cf = np.add.reduceat(new, first), np.diff(np.append(first, len(gram)))
+        gram, code = gram[first], code[first]
+        cut = _starts(code, gram >> _BITS)
+        ends = np.append(cut, len(gram))
+        columns = [pa.array([names[i] for i in code[cut]], pa.string()), pa.array((gram[cut] >> _BITS).astype(np.int32)), pa.array(np.full(len(cut), chunk)), *(_lists(x, ends) for x in (gram, df, cf))]
+        yield pa.RecordBatch.from_arrays(columns, names=["country", "bucket", "chunk", "gram", "df", "cf"])
+
+    for batch in batches:
+        chunks = batch.column("chunk").to_numpy()
+        marks = list(zip(*(batch.column(c).to_pylist() for c in ("country", "id")), strict=True))
+        cuts = _starts(chunks)
+        for a, b in zip(cuts, [*cuts[1:], len(chunks)], strict=True):
+            if held and chunks[a] != chunk:
+                yield from over()
+                held.clear()
+            if chunks[a] != chunk:
+                chunk, last = chunks[a], None
+            numbers = np.zeros(b - a, dtype=np.int64)
+            for i in range(a, b):
+                record += marks[i] != last
+                numbers[i - a], last = record, marks[i]
+            gram, row = _flat(batch.column("gram").slice(a, b - a))
+            held.append((gram, np.array([c for c, _ in marks[a:b]], dtype=object)[row], numbers[row]))
+    if held:
+        yield from over()
+
+
+def _spelt(batches):
+    """(country, gram, df, cf, n) with the gram itself, of rows (chunk, kind, country, hash, gram, df, cf, n) sorted by the first
+    three: those of kind 0 ask for hashes, of kind 1 have the grams of a text with their hashes."""
+    chunk, told = None, {}
+    for batch in batches:
+        marks = list(zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "country")), strict=True))
+        cuts = [i for i in range(len(marks)) if not i or marks[i] != marks[i - 1]]
+        for a, b in zip(cuts, [*cuts[1:], len(marks)], strict=True):
+            part = batch.slice(a, b - a)
+            if marks[a][0] != chunk:
+                chunk = marks[a][0]
+                told.clear()
+            country = marks[a][2]
+            found, row = _flat(part.column("hash"))
+            if marks[a][1] == 0:
+                new = [found, *(part.column(c).flatten().to_numpy() for c in ("df", "cf")), part.column("n").to_numpy()[row]]
+                new = [np.concatenate(x) for x in zip(told[country], new, strict=True)] if country in told else new
+                order = np.argsort(new[0])
+                told[country] = [x[order] for x in new]
+                continue
+            if country not in told or not len(told[country][0]):
+                continue
+            wanted = told[country]
+            at = np.minimum(np.searchsorted(wanted[0], found), len(wanted[0]) - 1)
+            there = np.flatnonzero(wanted[0][at] == found)
+            which, first = np.unique(at[there], return_index=True)
+            if len(which):
+                gram = part.column("gram").flatten().take(pa.array(there[first]))
+                yield pa.RecordBatch.from_arrays([pa.array([country] * len(which), pa.string()), gram, *(pa.array(x[which]) for x in wanted[1:])], names=["country", "gram", "df", "cf", "n"])
+                told[country] = [np.delete(x, which) for x in wanted]
+
+
+def gram_vocabulary(texts: DataFrame, grams, sizes: DataFrame, min_df: int, max_df: float) -> DataFrame:
+    """(country, gram, df, cf, n): the grams of (country, id, text) that so many records have; grams maps a column to an array.
+    Grams are counted as 64-bit hashes; one of the chunks that have a kept gram tells its letters. So a text is shuffled twice, a
+    distinct gram of a chunk once as some bytes, and only grams that are kept come out as text."""
+    chunks = max(1, -(-texts.count() // RECORDS))
+    rows = texts.where("country is not null").select(F.pmod(F.xxhash64("country", "id"), F.lit(chunks)).cast("long").alias("chunk"), "country", "id", "text")
+    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", "country", "id")
+    hashes = F.transform(grams(F.col("text")), lambda g: F.xxhash64(g))
+    found = frequencies(dealt.select("chunk", "country", "id", hashes.alias("gram")).mapInArrow(_summed, _ASKED), sizes, min_df, max_df, once=True)
+    none, empty = F.lit(None), F.array().cast("array<long>")
+    asks = found.select("chunk", F.lit(0).alias("kind"), "country", none.cast("string").alias("text"), F.col("gram").alias("hash"), "df", "cf", "n")
+    have = rows.select("chunk", F.lit(1).alias("kind"), "country", "text", empty.alias("hash"), empty.alias("df"), empty.alias("cf"), F.lit(0).cast("long").alias("n"))
+    met = asks.unionByName(have).repartition("chunk").sortWithinPartitions("chunk", "kind", "country")
+    met = met.withColumn("gram", F.when(F.col("kind") == 1, grams(F.col("text"))))
+    own = F.when(F.col("kind") == 0, F.col("hash")).otherwise(F.transform("gram", lambda g: F.xxhash64(g)))
+    told = met.select("chunk", "kind", "country", own.alias("hash"), "gram", "df", "cf", "n")
+    return told.mapInArrow(_spelt, "country string, gram string, df long, cf long, n long")

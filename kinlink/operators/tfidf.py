@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import by_shuffle, cut_lineage
-from .counts import counted, frequencies, unit_arrays
+from .counts import asked, counted, frequencies, unit_arrays
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ def text_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_o
         distinct = distinct.drop("copies").join(by_shuffle(copies), ["country", "text_id"], "left").na.fill(0, ["copies"])
     if config.max_features is None:  # else ties of counts go by the gram itself
         kept = cut_lineage(counted(distinct, "text_id", grams))
-        found = frequencies(kept, sizes_of(fitting), config.min_df, config.max_df)
+        found = frequencies(asked(kept), sizes_of(fitting), config.min_df, config.max_df)
         return cut_lineage(unit_arrays(kept, found, "text_id", config.sublinear_tf))
     tf = distinct.select("country", "text_id", "copies", F.explode(grams).alias("gram")).groupBy("country", "text_id", "copies", "gram").agg(F.count("*").alias("tf"))
     kept = cut_lineage(tf.groupBy("country", "text_id", "copies").agg(F.collect_list(F.struct("gram", "tf")).alias("terms")))

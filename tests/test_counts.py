@@ -45,3 +45,15 @@ def test_word_grams_copy_no_array(spark):
     text = "one two three four"
     got = spark.createDataFrame([(text,)], "t string").select(word_ngrams(F.col("t"), 1, 3).alias("g")).first().g
     assert got == ["one", "two", "three", "four", "one two", "two three", "three four", "one two three", "two three four"]
+
+
+@pytest.mark.parametrize("records", [counts.RECORDS, 2])
+def test_vocabulary_shuffles_no_row_for_a_gram(spark, monkeypatch, records):
+    monkeypatch.setattr(counts, "RECORDS", records)
+    rows = [(c, f"r{i % 8}", t) for i, (c, t) in enumerate(TEXTS)]  # two rows of r0, in one country, are one record
+    table = spark.createDataFrame(rows, "country string, id string, text string")
+    config = tfidf.TfIdf(min_df=2, max_df=0.9)
+    found = counts.gram_vocabulary(table, word_ngrams, tfidf.sizes_of(table), config.min_df, config.max_df)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = tfidf.vocabulary(tfidf.term_frequencies(table, word_ngrams(F.col("text"))), tfidf.sizes_of(table), config)
+    assert sorted((r.country, r.gram, r.df, r.cf) for r in found.collect()) == sorted((r.country, r.gram, r.df, r.cf) for r in want.collect()) != []
