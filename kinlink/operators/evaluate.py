@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import by_shuffle
+
 BETA = 0.5
 
 
@@ -27,7 +29,7 @@ def f_beta(p: Column, r: Column, beta: float = BETA) -> Column:
 def pair_completeness(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: true links, those among the pairs, and their share (1 if there are no true links)."""
     found = pairs.select("source1_entity_id", "candidate_entity_id").distinct().withColumn("hit", F.lit(1))
-    joined = truth.join(found, ["source1_entity_id", "candidate_entity_id"], "left")
+    joined = truth.join(by_shuffle(found), ["source1_entity_id", "candidate_entity_id"], "left")
     return joined.agg(F.count("*").alias("true_links"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits")).withColumn(
         "pair_completeness", F.when(F.col("true_links") > 0, F.col("hits") / F.col("true_links")).otherwise(1.0)
     )
@@ -35,7 +37,7 @@ def pair_completeness(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 def completeness_at(pairs: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     """Pair completeness for each cut of the ranks. The list of cuts is small and explodes the hits, not the pairs."""
-    hits = truth.join(pairs.select("source1_entity_id", "candidate_entity_id", "rank"), ["source1_entity_id", "candidate_entity_id"])
+    hits = truth.join(by_shuffle(pairs.select("source1_entity_id", "candidate_entity_id", "rank")), ["source1_entity_id", "candidate_entity_id"])
     cuts = F.explode(F.array(*map(F.lit, ks))).alias("k")
     at = hits.select("rank", cuts).where("rank <= k").groupBy("k").agg(F.count("*").alias("hits"))
     spark = pairs.sparkSession
@@ -50,9 +52,9 @@ def entity_scores(ids: DataFrame, truth: DataFrame, pairs: DataFrame, beta: floa
     links scores 1 if nothing is predicted and 0 otherwise. `by` names columns of ids and pairs that hold a sweep's setting."""
     n_true = truth.groupBy("source1_entity_id").agg(F.count("*").alias("n_true"))
     hit = truth.withColumn("hit", F.lit(1))
-    predicted = pairs.select(*by, "source1_entity_id", "candidate_entity_id").distinct().join(hit, ["source1_entity_id", "candidate_entity_id"], "left")
+    predicted = pairs.select(*by, "source1_entity_id", "candidate_entity_id").distinct().join(by_shuffle(hit), ["source1_entity_id", "candidate_entity_id"], "left")
     predicted = predicted.groupBy(*by, "source1_entity_id").agg(F.count("*").alias("n_pred"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_hit"))
-    rows = ids.join(n_true, "source1_entity_id", "left").join(predicted, [*by, "source1_entity_id"], "left").na.fill(0, ["n_true", "n_pred", "n_hit"])
+    rows = ids.join(by_shuffle(n_true), "source1_entity_id", "left").join(by_shuffle(predicted), [*by, "source1_entity_id"], "left").na.fill(0, ["n_true", "n_pred", "n_hit"])
     none = (F.col("n_true") == 0) & (F.col("n_pred") == 0)
     p = F.when(none, 1.0).when(F.col("n_pred") > 0, F.col("n_hit") / F.col("n_pred")).otherwise(0.0)
     r = F.when(none, 1.0).when(F.col("n_true") > 0, F.col("n_hit") / F.col("n_true")).otherwise(0.0)

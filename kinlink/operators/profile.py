@@ -26,7 +26,7 @@ def script_profile(entities: DataFrame, column: str = "business_name") -> DataFr
 def match_cardinality(ids: DataFrame, truth: DataFrame, most: int = 6) -> DataFrame:
     """How many reference ids have 0, 1, ... matches; `most` stands for that many or more."""
     n = truth.groupBy("source1_entity_id").agg(F.count("*").alias("n"))
-    rows = ids.select("source1_entity_id").join(n, "source1_entity_id", "left").select(F.least(F.coalesce("n", F.lit(0)), F.lit(most)).alias("matches"))
+    rows = ids.select("source1_entity_id").join(by_shuffle(n), "source1_entity_id", "left").select(F.least(F.coalesce("n", F.lit(0)), F.lit(most)).alias("matches"))
     return rows.groupBy("matches").agg(F.count("*").alias("ids"))
 
 

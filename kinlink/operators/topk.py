@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import by_shuffle
+
 #: Scores are rounded to so many places before they are ranked, so that equal texts tie and the smaller id wins.
 PLACES = 6
 
@@ -36,7 +38,7 @@ def id_lists(reference: DataFrame, pairs: DataFrame, name: str = "matched_entity
     lists = pairs.groupBy("source1_entity_id").agg(F.sort_array(F.collect_list(F.struct("rank", "candidate_entity_id"))).alias("found"))
     ids = F.transform("found", lambda x: x["candidate_entity_id"])
     row = ["row"] if "row" in reference.columns else []  # the order of the input, where it is known
-    joined = reference.select(F.col("entity_id").alias("source1_entity_id"), *row).join(lists, "source1_entity_id", "left")
+    joined = reference.select(F.col("entity_id").alias("source1_entity_id"), *row).join(by_shuffle(lists), "source1_entity_id", "left")
     return joined.select(*row, "source1_entity_id", F.coalesce(F.array_join(F.array_distinct(ids), ","), F.lit("")).alias(name))
 
 
