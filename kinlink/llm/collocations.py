@@ -5,7 +5,8 @@ before, and adds them up by hash; a hash keeps 46 bits of a gram's language and
 other and no frequent gram is lost. On their way the hashes of a task that share their 14 high bits are one row, with an array of
 the other 32 bits, so a hash takes about four bytes and not a row; they are exploded again where they are added up. The second explodes the grams again, keeps those whose hash is frequent, and adds them up by
 language and words; what only shared a hash goes then, so counts are exact. The hashes are sent to the tasks as an array where
-they are at most SENT, which is counted before; beyond it they are joined.
+they are at most SENT, which is counted before. Beyond it a table of bits by their high bits is sent, of 64 MB at most, and what
+it lets through besides goes by its exact count. Grams that can't be frequent are in no case shuffled with their words.
 
 A candidate is cut after each of its words, the counts of both parts are joined, and the lowest score counts, in decimals. A
 candidate inside a longer gram that is nearly as frequent goes: of two such grams any between is as frequent as the longer one,
@@ -43,6 +44,8 @@ _LOW = np.uint64(32)
 _TASK_BYTES = 6 << 20
 #: Frequent hashes that are sent to the tasks at most: 32 MB.
 SENT = 1 << 22
+#: High bits of a hash that the table of bits for more hashes goes by: at least those of a bucket and three, at most (64 MB).
+_LEAST_TABLE, _TABLE = 17, 29
 #: Words of a task that are counted together in the first pass and in the second, and different words that it remembers.
 _HELD, _HELD_AGAIN, _KNOWN = 1 << 22, 1 << 20, 1 << 20
 #: Rows of a batch that goes back to Spark.
@@ -157,16 +160,44 @@ def _by_language(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
 
 
-def _kept_grams(docs: DataFrame, max_n: int, kept: np.ndarray | None) -> DataFrame:
-    """(lang, words, phrase, hash, n) for the grams of a task's texts, of all hashes or of those kept (in rising order)."""
+def table_bits(hashes: DataFrame, count: int) -> np.ndarray:
+    """A bit for each value of the high bits of hashes, set where one of the hashes has it; about one in 16 is, or more where that
+    takes a larger table than is sent. Tasks make the bits of their buckets, so no hash goes through the driver."""
+    bits = min(max((16 * max(count, 1) - 1).bit_length(), _LEAST_TABLE), _TABLE)
+    within = np.uint64(bits) - (_BITS - _LOW)
+
+    def run(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            high = np.sort(batch.column(0).to_numpy().astype(np.uint64) >> (_BITS - np.uint64(bits)))
+            buckets, starts = np.unique(high >> within, return_index=True)
+            for bucket, own in zip(buckets.tolist(), np.split(high, starts[1:]), strict=True):
+                if bucket not in found:
+                    found[bucket] = np.zeros(1 << int(within), dtype=bool)
+                found[bucket][own & np.uint64((1 << int(within)) - 1)] = True
+        for bucket, own in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bucket", "bits"])
+
+    out = np.zeros((1 << bits) >> 3, dtype=np.uint8)
+    size = 1 << int(within) >> 3
+    for row in hashes.coalesce(16).mapInArrow(run, "bucket int, bits binary").toLocalIterator():
+        out[row.bucket * size : (row.bucket + 1) * size] |= np.frombuffer(row.bits, dtype=np.uint8)
+    return out
+
+
+def _kept_grams(docs: DataFrame, max_n: int, kept: np.ndarray) -> DataFrame:
+    """(lang, words, phrase, n) for the grams of a task's texts of the hashes kept (in rising order), or that table_bits() has."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(kept)
     shift = np.uint64(64) - _BITS
-    names = ["lang", "words", "phrase", "hash", "n"]
+    names = ["lang", "words", "phrase", "n"]
 
     def run(batches):
-        grams, kept, some = Grams(max_n), sent.value, None
-        if kept is not None:
+        grams, kept = Grams(max_n), sent.value
+        table = kept.dtype == np.uint8
+        if table:
+            high = _BITS - np.uint64((8 * len(kept) - 1).bit_length())
+        else:
             # A table of the high bits of the hashes sorts out most grams before the search.
             some = np.zeros(1 << 24, dtype=bool)
             some[kept >> (_BITS - np.uint64(24))] = True
@@ -174,11 +205,14 @@ def _kept_grams(docs: DataFrame, max_n: int, kept: np.ndarray | None) -> DataFra
             spelled = None
             for n, starts, found in grams.hashed():
                 short = found >> shift
-                if kept is not None:
+                if table:
+                    at = short >> high
+                    near = np.flatnonzero(kept[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8) & np.uint8(128))
+                else:
                     near = np.flatnonzero(some[short >> (_BITS - np.uint64(24))])
                     at = np.searchsorted(kept, short[near])
                     near = near[kept[np.minimum(at, len(kept) - 1)] == short[near]]
-                    starts, found = starts[near], found[near]
+                starts, found = starts[near], found[near]
                 if not len(starts):
                     continue
                 if spelled is None:
@@ -198,10 +232,9 @@ def _kept_grams(docs: DataFrame, max_n: int, kept: np.ndarray | None) -> DataFra
                     at = starts[first[k : k + _ROWS]]
                     parts = [spelled.take(pa.array(grams.flat[at + j])) for j in range(n)]
                     phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
-                    hashes = (found[first[k : k + _ROWS]] >> shift).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(of[at])), pa.array(np.full(len(at), n, dtype=np.int32)), phrase, pa.array(hashes), pa.array(counts[k : k + _ROWS].astype(np.int64))], names=names)
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(of[at])), pa.array(np.full(len(at), n, dtype=np.int32)), phrase, pa.array(counts[k : k + _ROWS].astype(np.int64))], names=names)
 
-    return _by_language(docs).mapInArrow(run, "lang string, words int, phrase string, hash long, n long")
+    return _by_language(docs).mapInArrow(run, "lang string, words int, phrase string, n long")
 
 
 def frequent_grams(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, sent: int = SENT) -> DataFrame:
@@ -209,11 +242,9 @@ def frequent_grams(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, sent
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // _TASK_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hashes = cut_lineage(frequent_hashes(gram_hashes(docs, max_n), parts, least))
-    if hashes.count() <= sent:
-        kept = np.sort(hashes.toArrow().column(0).to_numpy()).astype(np.uint64)
-        found = _kept_grams(docs, max_n, kept) if len(kept) else _kept_grams(docs.limit(0), max_n, None)
-    else:
-        found = _kept_grams(docs, max_n, None).join(hashes, "hash", "left_semi")
+    count = hashes.count()
+    kept = np.sort(hashes.toArrow().column(0).to_numpy()).astype(np.uint64) if count <= sent else table_bits(hashes, count)
+    found = _kept_grams(docs if count else docs.limit(0), max_n, kept)
     return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 

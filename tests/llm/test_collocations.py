@@ -100,3 +100,21 @@ def test_hashes_travel_as_arrays(spark):
     for least in (1, 2, 30):
         got = sorted(x.hash for x in collocations.frequent_hashes(rows, 5, least).collect())
         assert got == hashes[n >= least].tolist()
+
+
+def test_more_hashes_than_are_sent_shuffle_no_rare_gram(spark):
+    r = random.Random(5)
+    docs = [("en", " ".join(r.choice([f"w{r.randrange(10**6)}", "red cross", "a b c"]) for _ in range(300))) for _ in range(40)]
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(3).cache()
+    hashes = collocations.frequent_hashes(collocations.gram_hashes(df), 4, 30)
+    hashed = sorted(x.hash for x in hashes.collect())
+    bits = collocations.table_bits(hashes, len(hashed))
+    high = [h >> (46 - (8 * len(bits) - 1).bit_length()) for h in hashed]
+    assert sorted(set(high)) == np.flatnonzero(np.unpackbits(bits)).tolist()
+    by = ["lang", "words", "phrase"]
+    every = collocations._kept_grams(df, 4, np.full(1 << 14, 255, dtype=np.uint8)).select(by).distinct().count()
+    passed = collocations._kept_grams(df, 4, bits).select(by).distinct()
+    assert every > 100 * len(hashed) and passed.count() <= len(hashed) + every / 8
+    exact = sorted((x.phrase, x.n) for x in collocations.frequent_grams(df, 4, 30, len(hashed)).collect())
+    assert exact and sorted((x.phrase, x.n) for x in collocations.frequent_grams(df, 4, 30, 0).collect()) == exact
+    df.unpersist()
