@@ -10,8 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import by_shuffle, cut_lineage
-from .counts import asked, counted, frequencies, unit_arrays
+from ..session import by_shuffle, cut_lineage, drop_shuffles
+from .counts import asked, asked_of, chunked, counted, frequencies, packed_units, unit_arrays
 
 
 @dataclass(frozen=True)
@@ -91,11 +91,13 @@ def text_postings(texts: DataFrame, grams: Column, config: TfIdf = TfIdf()) -> t
     return rows.select("country", "id", "text_id"), unit_postings(tf, vocabulary(tf, sizes_of(texts), config), config)
 
 
-def text_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_on: Column | None = None) -> DataFrame:
+def text_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_on: Column | None = None, pack: bool = False) -> DataFrame:
     """(country, text_id, vector) with the unit vector of each distinct text of a country as one array of (gram, weight). A text
     counts in the vocabulary as often as records have it, but its grams are made and kept once. Grams are 64-bit hashes: two of a
     million grams fall together with a probability of 3 in 100 million. Counts are arrays by text, are written once, and meet the
-    vocabulary by chunks of texts (counts.py), so no row is made for a gram of a text."""
+    vocabulary by chunks of texts (counts.py), so no row is made for a gram of a text. If pack, (country, text_id,
+    vector, terms, n) for a search as counts.packed_units() makes it, which is a tenth of that and less is written on the way; not with
+    max_features."""
     rows = texts.withColumn("text_id", text_id())
     chosen = F.lit(True) if fit_on is None else fit_on
     distinct = rows.groupBy("country", "text_id").agg(F.first("text").alias("text"), F.count_if(chosen).alias("copies"))
@@ -104,6 +106,12 @@ def text_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_o
         fitting = sampled(fitting, config.fit_sample)
         copies = fitting.select("country", text_id().alias("text_id")).groupBy("country", "text_id").agg(F.count("*").alias("copies"))
         distinct = distinct.drop("copies").join(by_shuffle(copies), ["country", "text_id"], "left").na.fill(0, ["copies"])
+    if pack and config.max_features is None:
+        kept = cut_lineage(chunked(distinct, "text_id"))
+        drop_shuffles(kept.sparkSession)
+        found = cut_lineage(frequencies(asked_of(kept, grams), sizes_of(fitting), config.min_df, config.max_df, pack=True))
+        drop_shuffles(kept.sparkSession)
+        return cut_lineage(packed_units(kept, grams, found, "text_id"))
     if config.max_features is None:  # else ties of counts go by the gram itself
         kept = cut_lineage(counted(distinct, "text_id", grams))
         found = frequencies(asked(kept), sizes_of(fitting), config.min_df, config.max_df)

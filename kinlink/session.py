@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -33,3 +34,10 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     """For a join with a table that grows with the input: both sides are shuffled. Spark's estimates go by the size of the files
     and know nothing of what explode() or a checkpoint made of them, so it may send such a table through the driver."""
     return df.hint("merge")
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files and checkpoints that no table refers to any more. It does so when the driver's memory is
+    collected, which may else be long after, with all of them on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -57,3 +57,26 @@ def test_vocabulary_shuffles_no_row_for_a_gram(spark, monkeypatch, records):
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
     want = tfidf.vocabulary(tfidf.term_frequencies(table, word_ngrams(F.col("text"))), tfidf.sizes_of(table), config)
     assert sorted((r.country, r.gram, r.df, r.cf) for r in found.collect()) == sorted((r.country, r.gram, r.df, r.cf) for r in want.collect()) != []
+
+
+@pytest.mark.parametrize("size", [counts.CHUNK_BYTES, 12])
+@pytest.mark.parametrize("sublinear", [True, False])
+def test_packed_vectors_are_those_of_arrays_in_fewer_bytes(spark, monkeypatch, size, sublinear):
+    monkeypatch.setattr(counts, "CHUNK_BYTES", size)
+    rng = np.random.default_rng(3)
+    long = [("A", " ".join(f"w{i}" for i in rng.integers(0, 400, 300))) for _ in range(40)]
+    rows = [(c, f"r{i}", t) for i, (c, t) in enumerate(TEXTS + [("C", None), ("D", "é ü ß"), *long])]
+    table = spark.createDataFrame(rows, "country string, id string, text string").repartition(3).cache()
+    config = tfidf.TfIdf(min_df=2, max_df=0.9, sublinear_tf=sublinear)
+    made = [tfidf.text_vectors(table, word_ngrams(F.col("text")), config, fit_on=F.col("id") != "r1", pack=pack) for pack in (False, True)]
+    arrays, packs = ({(r.country, r.text_id): r for r in df.collect()} for df in made)
+    assert arrays and set(arrays) == set(packs)
+    codes = {}
+    for key, r in packs.items():
+        code, weight = counts.unpacked([bytes(r.vector)], np.array([r.terms]), np.array([r.n]), sublinear)
+        assert np.array_equal(weight, [x.weight for x in arrays[key].vector])  # to the last bit
+        for c, x in zip(code.tolist(), arrays[key].vector, strict=True):
+            assert codes.setdefault((key[0], c), x.gram) == x.gram
+    assert len({(c, g) for (c, _), g in codes.items()}) == len(codes)
+    assert sum(len(r.vector) for r in packs.values()) < sum(32 * len(r.vector) for r in arrays.values()) / 4
+    table.unpersist()
