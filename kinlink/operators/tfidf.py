@@ -111,7 +111,10 @@ def text_vectors(texts: DataFrame, grams: Column, config: TfIdf = TfIdf(), fit_o
         drop_shuffles(kept.sparkSession)
         found = cut_lineage(frequencies(asked_of(kept, grams), sizes_of(fitting), config.min_df, config.max_df, pack=True))
         drop_shuffles(kept.sparkSession)
-        return cut_lineage(packed_units(kept, grams, found, "text_id"))
+        made = cut_lineage(packed_units(kept, grams, found, "text_id"))
+        del kept, found
+        drop_shuffles(made.sparkSession)
+        return made
     if config.max_features is None:  # else ties of counts go by the gram itself
         kept = cut_lineage(counted(distinct, "text_id", grams))
         found = frequencies(asked(kept), sizes_of(fitting), config.min_df, config.max_df)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,5 +40,7 @@ def by_shuffle(df: DataFrame) -> DataFrame:
 def drop_shuffles(spark: SparkSession) -> None:
     """Has Spark remove the shuffle files and checkpoints that no table refers to any more. It does so when the driver's memory is
     collected, which may else be long after, with all of them on disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first lets go of may hold others
+        gc.collect()
+        time.sleep(0.5)  # Python tells the driver what it has let go of in a thread of its own, every 0.1 s
+        spark.sparkContext._jvm.System.gc()
